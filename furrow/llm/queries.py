@@ -39,7 +39,50 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+#: The contract's rules for op5.
+URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from furrow.llm.toxicity import score_toxicity, train_toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = train_toxicity(docs, labels.where(fold("doc_id", 5) != 0))
+    out = score_toxicity(docs, model)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from furrow.llm.language_id import predict_language, train_language_model
+
+    docs = table(spark, sf_dir, "documents")
+    model = train_language_model(docs.where(fold("doc_id", 3) != 1))
+    return predict_language(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' own verdicts are the labels that the trees learn from."""
+    from furrow.llm.url_filter import Rule, best_rule, host_of, judge_urls, path_of, train_url_model
+
+    rules = [Rule(*r) for r in URL_RULES]
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labelled = pages.withColumn("verdict", best_rule(host_of(F.col("url")), path_of(F.col("url")), rules)["verdict"])
+    return judge_urls(pages, train_url_model(labelled), rules)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from furrow.llm.quality import score_quality, train_quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = score_quality(docs, train_quality(docs, labels.where(fold("doc_id", 3) != 1)))
+    return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
+    "op2_toxicity": op2_toxicity,
+    "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_url_filter": op5_url_filter,
+    "op10_quality": op10_quality,
 }

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+
+from furrow.llm.text_arrays import blocks
 
 #: More classes than this are not a classification problem the samplers accept.
 MAX_CLASSES = 1000
@@ -58,3 +64,21 @@ def sample_by_class(rows: DataFrame, key: str, label: str, quota: int) -> DataFr
         rate = F.when(F.col(label) == F.lit(r[label]), F.lit(min(1.0, quota / r["count"]))).otherwise(rate)
     draw = F.xxhash64(F.lit("sample"), F.col(key).cast("string")).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
     return rows.where(draw < rate)
+
+
+def map_texts(docs: DataFrame, id_col: str, text_col: str, score: Callable[[np.ndarray, np.ndarray], list], fields: list[pa.Field]) -> DataFrame:
+    """``id_col`` and the columns that ``score(bytes, offsets)`` gives for each text, block by block, without a shuffle.
+
+    Only the two columns are read; null texts arrive as empty ones. A worker holds one Arrow batch and the arrays of
+    one block of about a MB (or of one text, if that is longer).
+    """
+    rows = docs.select(id_col, text_col)
+    schema = pa.schema([to_arrow_schema(rows.schema).field(0), *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in blocks(batch.column(1)):
+                columns = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(score(data, offsets), fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], schema=schema)
+
+    return rows.mapInArrow(run, from_arrow_schema(schema))

@@ -141,39 +141,42 @@ def shingles(text: np.ndarray, word: np.ndarray, n: int, texts: int) -> tuple[np
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
-_FOLD = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in map(chr, range(0x250))], np.uint32)
-
-
-def code_points(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(code points, offsets in code points) of UTF-8 texts; letters below U+0250 lower-cased if asked."""
-    lead = (data & 0xC0) != 0x80
-    at = np.flatnonzero(lead)
-    b = data[at]
-    cp = b.astype(np.uint32)
-    if len(at) < len(data):
-        more = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32) & 0x3F
-        for low, high, mask, extra in ((0xC0, 0xDF, 0x1F, 1), (0xE0, 0xEF, 0x0F, 2), (0xF0, 0xF7, 0x07, 3)):
-            k = np.flatnonzero((b >= low) & (b <= high))
-            if len(k):
-                v = cp[k] & mask
-                for j in range(1, extra + 1):
-                    v = (v << 6) | more[at[k] + j]
-                cp[k] = v
-        seen = np.concatenate([[0], np.cumsum(lead)])
-        offsets = seen[offsets]
-    if lower:
-        k = cp < len(_FOLD)
-        cp = np.where(k, _FOLD[np.where(k, cp, 0)], cp)
-    return cp, offsets
-
-
-def padded(cp: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code points, text index) with separators as spaces and one space before, between and after the texts."""
-    n = len(offsets) - 1
-    text = np.repeat(np.arange(n), np.diff(offsets))
-    out = np.full(len(cp) + n + 1, 32, np.uint32)
-    out[np.arange(len(cp)) + text + 1] = np.where((cp < 33) & SEPARATOR[np.minimum(cp, 255)], 32, cp)
-    where = np.zeros(len(out), np.int64)
-    where[np.arange(len(cp)) + text + 1] = text
-    where[offsets[1:] + np.arange(n) + 1] = np.arange(n)
-    return out, where
+_BLANK = np.zeros(34, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, starts, ends): lower-cased texts one after another, separators as spaces, a space around each."""
+    raw = data.tobytes()
+    texts = [raw[a:b].decode("utf-8", "replace").lower() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    sizes = np.array([len(x) for x in texts], np.int64)
+    cp = np.frombuffer(f" {' '.join(texts)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.cumsum(sizes + 1)
+    return np.where(_BLANK[np.minimum(cp, 33)], np.uint32(32), cp), ends - sizes, ends
+
+
+_letters: list[np.ndarray] = []
+
+
+def is_letter(cp: np.ndarray) -> np.ndarray:
+    """Whether each code point is a letter in Unicode's sense."""
+    if not _letters:
+        _letters.append(np.array([chr(c).isalpha() for c in range(0x10000)]))
+    found = _letters[0][np.minimum(cp, 0xFFFF)]
+    high = np.flatnonzero(cp > 0xFFFF)
+    if len(high):
+        found[high] = [chr(c).isalpha() for c in cp[high]]
+    return found
+
+
+def gram_hashes(cp: np.ndarray, n: int) -> np.ndarray:
+    """A 32-bit hash of the ``n`` code points from each position on."""
+    size = max(0, len(cp) - n + 1)
+    h = np.full(size, (0x811C9DC5 + 0x9E3779B1 * n) & 0xFFFFFFFF, np.uint32)
+    for k in range(n):
+        h ^= cp[k : k + size]
+        h *= np.uint32(0x01000193)
+        h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    h ^= h >> np.uint32(13)
+    return h
