@@ -70,6 +70,20 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, train_url_model(labelled), rules)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a passage of a benchmark item, with the items and the places."""
+    from furrow.llm.decontamination import find_contamination
+
+    hits = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.withColumnsRenamed({"start": "doc_start", "end": "doc_end"})
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from furrow.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from furrow.llm.quality import score_quality, train_quality
 
@@ -84,5 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_url_filter": op5_url_filter,
+    "op8_decontamination": op8_decontamination,
+    "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
