@@ -70,6 +70,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, train_url_model(labelled), rules)
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from furrow.llm.language_model import score_texts, train_language_model
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_texts(docs, train_language_model(docs.where(fold("doc_id", 10) != 0)))
+    return out.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold a passage of a benchmark item, with the items and the places."""
     from furrow.llm.decontamination import find_contamination
@@ -98,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_url_filter": op5_url_filter,
+    "op7_language_model": op7_language_model,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
