@@ -102,3 +102,21 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]
     return map_texts(docs, id_col, text_col, lambda data, offsets: list(score_texts(shared.value, data, offsets)), fields)
+
+
+def keep_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.5, languages: frozenset[str] | None = None) -> DataFrame:
+    """``docs`` without the rows rejected: undetermined texts, posteriors under ``least``, languages not asked for.
+
+    The filter runs within one pass over all columns; nothing is joined or shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep: list[bool] = []
+            for _, _, data, offsets in blocks(batch.column(text_col)):
+                names, score = score_texts(shared.value, data, offsets)
+                keep += [n != UNDETERMINED and s >= least and (languages is None or n in languages) for n, s in zip(names, score, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

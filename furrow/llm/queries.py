@@ -70,6 +70,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, train_url_model(labelled), rules)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from furrow.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from furrow.llm.language_model import score_texts, train_language_model
 
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_ngram_join": op6_ngram_join,
     "op7_language_model": op7_language_model,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
