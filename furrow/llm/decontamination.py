@@ -102,7 +102,7 @@ def _regions(bench: Benchmark, cp: np.ndarray, starts: np.ndarray, ends: np.ndar
     inside[inside] &= (at[inside] >= starts[text[inside]]) & (at[inside] + bench.q <= ends[text[inside]] + 1)
     at, k, text = at[inside], k[inside], text[inside]
     count = bench.begin[k + 1] - bench.begin[k]
-    post = np.repeat(bench.begin[k] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+    post = np.repeat(bench.begin[k] - (np.cumsum(count) - count), count) + np.arange(count.sum())
     at, text, item, place = np.repeat(at, count), np.repeat(text, count), bench.item[post], bench.place[post]
     band = (at - place) // (bench.budget[item] + 1)
     low, wide = int(band.min(initial=0)) - 1, int(band.max(initial=0)) - int(band.min(initial=0)) + 3
@@ -117,7 +117,7 @@ def _regions(bench: Benchmark, cp: np.ndarray, starts: np.ndarray, ends: np.ndar
     bands, item, need = bands[full], item[full], need[full]
     windows = -(-(bench.size[item] - bench.window[item]) // bench.stride) + 1
     which = np.repeat(np.arange(len(bands)), windows)
-    number = np.arange(len(which)) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
+    number = np.arange(len(which)) - np.repeat((np.cumsum(windows) - windows), windows)
     begin_at = np.minimum(number * bench.stride, (bench.size - bench.window)[item[which]])
     base = bands[which] * longest
     shared = np.searchsorted(hits, base + begin_at + bench.window[item[which]] - bench.q + 1) - np.searchsorted(hits, base + begin_at)

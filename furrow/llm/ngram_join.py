@@ -7,7 +7,7 @@
    with equal sets are one class from here on, so copies cost nothing.
 3. Buckets. Among the classes that have a shingle in their prefixes, the least is the leader; a class goes to the
    bucket of each of its leaders. Two similar classes share a prefix shingle, so they meet in its leader's bucket.
-   Leaders come from partial minima, and groups are never listed: a group costs a row per member.
+   Groups are never listed: a group costs a row per member.
 4. Trees. Each bucket's whole sets form a prefix tree that is traversed once per set, sharing the overlaps of common
    paths and pruning by remaining length; sets already connected are not compared. A bucket beyond
    ``bucket_grams`` shingles is cut into blocks that each also hold the leader; only the sets that did not join the
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.components import connected_components
@@ -39,7 +39,7 @@ from furrow.llm.shared import materialise
 from furrow.llm.text_arrays import blocks, mix, shingles, words
 
 #: Shingles that the first pass sorts at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 21
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -50,17 +50,15 @@ class GlobalOrder:
     grams: np.ndarray
     rank: np.ndarray
 
-    def prefix(self, grams: np.ndarray, size: int) -> np.ndarray:
-        """The first ``size`` of a set given in order of hash."""
+    def prefix(self, grams: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``size`` of a set given in order of hash: those outside this table, and those in it."""
         if not len(self.grams):
-            return grams[:size]
+            return grams[:size], grams[:0]
         at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
         frequent = self.grams[at] == grams
         rare = grams[~frequent]
-        if len(rare) >= size:
-            return rare[:size]
-        last = at[frequent]
-        return np.concatenate([rare, grams[frequent][np.argsort(self.rank[last], kind="stable")][: size - len(rare)]])
+        last = grams[frequent][np.argsort(self.rank[at[frequent]], kind="stable")]
+        return rare[:size], last[: max(0, size - len(rare))]
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -84,7 +82,7 @@ def count_frequent(rows: DataFrame, n: int, order_size: int) -> GlobalOrder:
 
         def flush() -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
-            some = counts >= 3
+            some = counts >= 2
             return pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], names=["gram", "n"])
 
         for batch in batches:
@@ -112,29 +110,46 @@ def count_frequent(rows: DataFrame, n: int, order_size: int) -> GlobalOrder:
 
 
 def _prefixes(rows: DataFrame, order: Broadcast, n: int, num: int, den: int) -> DataFrame:
-    """(id, n, k1, k2, prefix) for every row; the prefix is null for sets that the task has met before."""
+    """(id, n, k1, k2, rare, frequent) for every row; both parts of the prefix are null for sets met before in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+        longs = pa.list_(pa.int64())
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("rare", longs), ("frequent", longs)])
         for batch in batches:
             size, keys = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2), np.int64)
-            prefix: list = [None] * batch.num_rows
+            rare: list = [None] * batch.num_rows
+            frequent: list = [None] * batch.num_rows
             for i, grams in _sets(batch.column(1), n):
                 size[i], keys[i] = len(grams), (own := _class_of(grams))
                 if own not in seen:
                     seen.add(own)
-                    prefix[i] = order.value.prefix(grams, len(grams) + num * len(grams) // -den + 1).view(np.int64)
-            columns = [batch.column(0), pa.array(size), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(prefix, pa.list_(pa.int64()))]
+                    rare[i], frequent[i] = (x.view(np.int64) for x in order.value.prefix(grams, len(grams) + num * len(grams) // -den + 1))
+            columns = [batch.column(0), pa.array(size), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(rare, longs), pa.array(frequent, longs)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return rows.mapInArrow(run, "id long, n long, k1 long, k2 long, prefix array<long>")
+    return rows.mapInArrow(run, "id long, n long, k1 long, k2 long, rare array<long>, frequent array<long>")
 
 
-def _links(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, core, block, bucket) from rows(bucket, block, role, id, grams) grouped and sorted by bucket and block.
+def _memberships(sets: DataFrame) -> DataFrame:
+    """(bucket, k1): the leader of every prefix shingle that several classes have, and those classes.
 
-    role 0: the leader; 1: a set to compare with all others; 2: a set to be compared with only.
+    A frequent shingle's leader is a partial minimum, and as the frequent ones are at most ``order_size``, leaders
+    reach the members by a broadcast of that bound. The others, none of them as frequent, meet once in a window.
+    """
+    own = sets.select("k1", F.explode("rare").alias("gram"))
+    group = Window.partitionBy("gram")
+    rare = own.select("k1", F.min("k1").over(group).alias("bucket"), F.max("k1").over(group).alias("top")).where("bucket < top").select("bucket", "k1")
+    own = sets.select("k1", F.explode("frequent").alias("gram"))
+    leaders = own.groupBy("gram").agg(F.min("k1").alias("bucket"), F.max("k1").alias("top")).where("bucket < top").drop("top")
+    return rare.unionByName(own.join(F.broadcast(leaders), "gram").select("bucket", "k1")).distinct()
+
+
+def _links(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(bucket, block, role, a, b, core) from rows(bucket, block, role, id, core, k1, k2, text).
+
+    Texts travel, not sets: they take less room, and their shingles are cheap. A row whose text is not of its class
+    (an id may repeat with another text) goes. role 0: the leader; 1: a set to compare with all others; 2: a set to be compared with only.
     """
     schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("role", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("core", pa.bool_())])
 
@@ -156,44 +171,29 @@ def _links(members: DataFrame, num: int, den: int) -> DataFrame:
                 out.extend((*key, r, i, least[c], c == lead) for i, r, c in zip(ids, roles, label.tolist(), strict=True))
 
         for batch in batches:
-            for now in zip(*(batch.column(k).to_pylist() for k in range(5)), batch.column(5), strict=True):
+            row = list(zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True))
+            for i, grams in _sets(batch.column(7), n):
+                now = row[i]
+                if _class_of(grams) != now[5:]:
+                    continue
                 if key != now[:2]:
                     close()
                     key, ids, roles, sets, cores = now[:2], [], [], [], []
                 roles.append(now[2])
                 ids.append(now[3])
                 cores.append(now[4])
-                sets.append(np.frombuffer(now[5].as_buffer(), np.uint64))
+                sets.append(grams.copy())
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
                 out = []
         close()
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
 
-    rows = members.select("bucket", "block", "role", "id", "core", "grams")
+    rows = members.select("bucket", "block", "role", "id", "core", "k1", "k2", "text")
     rows = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
     return rows.mapInArrow(run, "bucket long, block long, role int, a long, b long, core boolean")
 
 
-def _whole_sets(texts: DataFrame, n: int) -> DataFrame:
-    """texts(id, text, k1, k2, …) with the whole set as ``grams`` instead of the text; rows of other classes go."""
-    names = [c for c in texts.columns if c != "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
-            rows, sets = [], []
-            for i, grams in _sets(batch.column("text"), n):
-                if _class_of(grams) == (k1[i], k2[i]):
-                    rows.append(i)
-                    sets.append(grams.tobytes())
-            kept = batch.select(names).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], names=[*names, "grams"])
-
-    kinds = dict(texts.dtypes)
-    return texts.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", grams binary")
-
-
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, order_size: int = 1 << 18, bucket_grams: int = 1 << 19) -> DataFrame:
     """(``id_col``, n_shingles, component_id) for every row; documents with Jaccard similarity num/den or more are linked."""
     spark = docs.sparkSession
@@ -203,9 +203,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = sets.where("n > 0 and id is not null")
     classes = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
 
-    entries = some.where("prefix is not null").select("k1", F.explode("prefix").alias("gram"))
-    leaders = entries.groupBy("gram").agg(F.min("k1").alias("bucket"), F.max("k1").alias("top")).where("bucket < top").drop("top")
-    members = materialise(entries.join(leaders, "gram").select("bucket", "k1").distinct(), "members")
+    members = materialise(_memberships(some), "members")
     buckets = members.groupBy("k1").agg(F.collect_set("bucket").alias("buckets"))  # at most one a prefix shingle
     chosen = materialise(classes.join(buckets, "k1"), "candidates")
 
@@ -223,15 +221,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks_of = F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own_block))
     places = placed.withColumn("block", F.explode(blocks_of)).select(F.col("rep").alias("id"), "bucket", "block", F.when(leads, 0).otherwise(1).alias("role"))
     per_class = places.groupBy("id").agg(F.collect_list(F.struct("bucket", "block", "role")).alias("places"))
-
-    whole = _whole_sets(rows.join(chosen.select(F.col("rep").alias("id"), "k1", "k2"), "id"), n)
-    if several:
-        whole = materialise(whole, "whole")
-    dealt = whole.select("id", "grams").join(per_class, "id").select("id", "grams", F.explode("places").alias("p")).select("id", "grams", "p.bucket", "p.block", "p.role", F.lit(False).alias("core"))
-    links = materialise(_links(dealt, num, den), "links")
+    asked = chosen.select(F.col("rep").alias("id"), "k1", "k2")
+    dealt = rows.join(asked.join(per_class, "id"), "id").select("id", "k1", "k2", "text", F.explode("places").alias("p"), F.lit(False).alias("core"))
+    links = materialise(_links(dealt.select("*", "p.*"), n, num, den), "links")
     edges = links.select("a", "b")
     if several:
-        edges = edges.unionByName(_across_blocks(links, large, whole, num, den))
+        edges = edges.unionByName(_across_blocks(links, large, rows.join(asked, "id"), n, num, den))
 
     found = connected_components(edges.where("a != b"))
     label = classes.join(found, classes["rep"] == found["node"], "left").where("component is not null or copies > 1")
@@ -241,7 +236,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def _across_blocks(links: DataFrame, large: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+def _across_blocks(links: DataFrame, large: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Links between blocks of one bucket: the sets that did not join the leader against all sets of the other blocks."""
     own = links.join(large, "bucket").where("role = 1")
     rest = own.where("not core").groupBy("bucket", "block").agg(F.count(F.lit(1)).alias("n"))
@@ -252,8 +247,8 @@ def _across_blocks(links: DataFrame, large: DataFrame, whole: DataFrame, num: in
     asks = asks.select("a", "bucket", (F.col("block") * F.col("blocks") + F.col("other")).alias("block"), F.lit(1).alias("role"), F.lit(False).alias("core"))
     others = own.join(rest, "bucket").where("asking != block")
     others = others.select("a", "bucket", (F.col("asking") * F.col("blocks") + F.col("block")).alias("block"), F.lit(2).alias("role"), "core")
-    rows = asks.unionByName(others).join(whole.select(F.col("id").alias("a"), "grams"), "a").withColumnRenamed("a", "id")
-    return _links(rows, num, den).select("a", "b")
+    rows = texts.join(asks.unionByName(others).withColumnRenamed("a", "id"), "id")
+    return _links(rows, n, num, den).select("a", "b")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -80,7 +80,7 @@ class PrefixTree:
 
     def _children(self, nodes: np.ndarray) -> np.ndarray:
         count = self.child_begin[nodes + 1] - self.child_begin[nodes]
-        at = np.repeat(self.child_begin[nodes] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        at = np.repeat(self.child_begin[nodes] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         return self.child_order[at.astype(np.int64)]
 
     def similar(self, probe: int, num: int, den: int, component: np.ndarray) -> list[int]:
@@ -103,7 +103,7 @@ class PrefixTree:
                 break
             upto = np.minimum(done + STEP, self.end[nodes])
             count = upto - done
-            first = np.concatenate([[0], np.cumsum(count)[:-1]])
+            first = (np.cumsum(count) - count)
             at = np.repeat(self.begin[self.row[nodes]] + done - first, count) + np.arange(count.sum())
             overlap = overlap + np.add.reduceat(has[self.flat[at]].astype(np.int64), first)
             last = self.flat[self.begin[self.row[nodes]] + upto - 1]

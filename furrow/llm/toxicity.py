@@ -52,7 +52,7 @@ def _rows(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], buckets
     keys, weights = [], []
     for n in sizes:
         count = np.maximum(0, end - start + 3 - n)
-        at = np.repeat(start - 1 - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        at = np.repeat(start - 1 - (np.cumsum(count) - count), count) + np.arange(count.sum())
         keys.append(np.repeat(text, count) * buckets + (gram_hashes(cp, n)[at] & np.uint32(buckets - 1)))
         weights.append(np.repeat(each, count))
     key, which = np.unique(np.concatenate(keys), return_inverse=True)
