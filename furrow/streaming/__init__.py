@@ -1,0 +1 @@
+"""Empty on purpose: every dataflow of this engine is a bounded batch, and no operator keeps state over a stream."""
