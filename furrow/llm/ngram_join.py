@@ -131,18 +131,27 @@ def _prefixes(rows: DataFrame, order: Broadcast, n: int, num: int, den: int) ->
     return rows.mapInArrow(run, "id long, n long, k1 long, k2 long, rare array<long>, frequent array<long>")
 
 
-def _memberships(sets: DataFrame) -> DataFrame:
-    """(bucket, k1): the leader of every prefix shingle that several classes have, and those classes.
+def _memberships(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(bucket, k1): the leaders of the prefix shingles that several classes of compatible sizes have, and the classes.
 
-    A frequent shingle's leader is a partial minimum, and as the frequent ones are at most ``order_size``, leaders
-    reach the members by a broadcast of that bound. The others, none of them as frequent, meet once in a window.
+    Sets whose sizes differ by more than the threshold cannot be similar, so the classes of a shingle fall apart where
+    sizes leave a gap. A frequent shingle's leaders are partial minima for each step of sizes, joined back in a join
+    that adaptive execution can split; the other shingles, none of them as frequent, meet once in a window by size.
     """
-    own = sets.select("k1", F.explode("rare").alias("gram"))
-    group = Window.partitionBy("gram")
-    rare = own.select("k1", F.min("k1").over(group).alias("bucket"), F.max("k1").over(group).alias("top")).where("bucket < top").select("bucket", "k1")
-    own = sets.select("k1", F.explode("frequent").alias("gram"))
-    leaders = own.groupBy("gram").agg(F.min("k1").alias("bucket"), F.max("k1").alias("top")).where("bucket < top").drop("top")
-    return rare.unionByName(own.join(F.broadcast(leaders), "gram").select("bucket", "k1")).distinct()
+    rare = sets.select("k1", "n", F.explode("rare").alias("gram"))
+    by_size = Window.partitionBy("gram").orderBy("n")
+    gap = F.coalesce((F.lag("n").over(by_size) * den < F.col("n") * num).cast("int"), F.lit(0))
+    rare = rare.withColumn("gap", gap).withColumn("part", F.sum("gap").over(by_size))
+    group = Window.partitionBy("gram", "part")
+    rare = rare.select("k1", F.min("k1").over(group).alias("bucket"), F.max("k1").over(group).alias("top"))
+
+    # sizes within the threshold fall in one step or in neighbouring ones, so each set counts in its own and the next
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9)
+    own = sets.select("k1", F.explode("frequent").alias("gram"), step.alias("step"))
+    own = own.select("k1", "gram", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"))
+    leaders = own.groupBy("gram", "step").agg(F.min("k1").alias("bucket"), F.max("k1").alias("top"))
+    frequent = own.join(leaders.where("bucket < top"), ["gram", "step"])
+    return rare.where("bucket < top").select("bucket", "k1").unionByName(frequent.select("bucket", "k1")).distinct()
 
 
 def _links(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -194,7 +203,7 @@ def _links(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket long, block long, role int, a long, b long, core boolean")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, order_size: int = 1 << 18, bucket_grams: int = 1 << 19) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, order_size: int = 1 << 20, bucket_grams: int = 1 << 19) -> DataFrame:
     """(``id_col``, n_shingles, component_id) for every row; documents with Jaccard similarity num/den or more are linked."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -203,7 +212,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = sets.where("n > 0 and id is not null")
     classes = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
 
-    members = materialise(_memberships(some), "members")
+    members = materialise(_memberships(some, num, den), "members")
     buckets = members.groupBy("k1").agg(F.collect_set("bucket").alias("buckets"))  # at most one a prefix shingle
     chosen = materialise(classes.join(buckets, "k1"), "candidates")
 
