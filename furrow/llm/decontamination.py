@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from furrow.llm.shared import fresh
 from furrow.llm.text_arrays import blocks, characters, gram_hashes, is_letter
 
 #: log2 of the size of the table that rules most positions out at once.
@@ -207,4 +208,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents in which an item was found; all columns stay as they are."""
     hits = find_contamination(docs, benchmark, id_col, **options)
-    return docs.join(hits.select(F.col(id_col).alias("_hit_id")).distinct(), F.col(id_col).eqNullSafe(F.col("_hit_id")), "left_anti")
+    own = fresh(docs, "hit_id")
+    return docs.join(hits.select(F.col(id_col).alias(own)).distinct(), F.col(id_col).eqNullSafe(F.col(own)), "left_anti")

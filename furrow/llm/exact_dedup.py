@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.shared import materialise
+from furrow.llm.shared import fresh, materialise
 
 
 def sha256_of(text: Column) -> Column:
@@ -66,6 +66,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` does not keep; all columns stay as they are."""
-    gone = exact_dedup(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col(id_col).alias("_gone_id"), F.col("digest").alias("_gone_digest")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (sha256_of(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_gone_digest"))
+    own_id, own_digest = fresh(docs, "gone_id"), fresh(docs, "gone_digest")
+    gone = exact_dedup(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col(id_col).alias(own_id), F.col("digest").alias(own_digest)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (sha256_of(F.coalesce(F.col(text_col), F.lit(""))) == F.col(own_digest))
     return docs.join(gone, same, "left_anti")

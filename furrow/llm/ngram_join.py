@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm.components import connected_components
 from furrow.llm.prefix_tree import link_sets
-from furrow.llm.shared import materialise
+from furrow.llm.shared import fresh, materialise
 from furrow.llm.text_arrays import blocks, mix, shingles, words
 
 #: Shingles that the first pass sorts at a time.
@@ -262,5 +262,6 @@ def _across_blocks(links: DataFrame, large: DataFrame, texts: DataFrame, n: int,
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with only the smallest id of each component; all columns stay as they are."""
-    gone = ngram_join(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left_anti")
+    own = fresh(docs, "gone_id")
+    gone = ngram_join(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(own)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(own), "left_anti")

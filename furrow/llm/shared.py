@@ -42,6 +42,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(key: Column | str, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``. A null key falls in fold 0."""
     key = F.col(key) if isinstance(key, str) else key

@@ -188,7 +188,8 @@ def fit(urls: list[str | None], blocked: np.ndarray, trees: int = 60, depth: int
 def train_url_model(labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", label_col: str = "verdict", quota: int = 4000, **options) -> UrlModel:
     """Learn from about ``quota`` urls of each label (block or allow); rows with another label teach nothing."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(label_col).alias("label")).where("label in ('block', 'allow')")
-    found = sorted(sample_by_class(rows, "id", "label", quota).select("id", F.coalesce("url", F.lit("")).alias("url"), "label").collect())
+    found = sample_by_class(rows, "id", "label", quota).select("id", F.coalesce("url", F.lit("")).alias("url"), "label").collect()
+    found.sort(key=lambda r: (r["url"], r["label"]))
     return fit([r["url"] for r in found], np.array([r["label"] == "block" for r in found], float), **options)
 
 
