@@ -35,6 +35,21 @@ def merge_copies(rows: DataFrame, salts: int) -> DataFrame:
     return salted.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
+def _looked_up(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows(id, digest) with their group's keep_id and group_size, null for groups of one.
+
+    Groups with a thousandth or more of all copies, of which there are a thousand at most, come by broadcast; their
+    rows then spread over all tasks of the join that looks up the others.
+    """
+    copies = groups.agg(F.sum("group_size")).first()[0] or 0
+    heavy = F.col("group_size") * 1000 >= copies
+    large = groups.where(heavy).select("digest", F.col("keep_id").alias("large_keep"), F.col("group_size").alias("large_size"))
+    marked = rows.join(F.broadcast(large), "digest", "left")
+    marked = marked.withColumn("spread", F.when(F.col("large_size").isNotNull(), F.xxhash64("id")).otherwise(F.lit(0).cast("long")))
+    found = marked.join(groups.where(~heavy).withColumn("spread", F.lit(0).cast("long")), ["digest", "spread"], "left")
+    return found.select("id", "digest", F.coalesce("large_keep", "keep_id").alias("keep_id"), F.coalesce("large_size", "group_size").alias("group_size"))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, digest: Callable[[Column], Column] = sha256_of) -> DataFrame:
     """One row per input row: ``id_col``, digest (binary), keep_id, group_size, kept.
 
@@ -48,13 +63,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = merged.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
     groups = materialise(groups.where("texts > 1 or group_size > 1"), "copies")
 
-    found = rows.select("id", "digest").join(groups.where("texts = 1").drop("texts"), "digest", "left")
+    single = groups.where("texts = 1").drop("texts")
     mixed = groups.where("texts > 1").select("digest")
-    if not mixed.isEmpty():
+    if mixed.isEmpty():
+        found = _looked_up(rows.select("id", "digest"), single)
+    else:
         alone = rows.select("id", "digest").join(mixed, "digest", "left_anti")
-        found = alone.join(groups.where("texts = 1").drop("texts"), "digest", "left").unionByName(
-            rows.join(mixed, "digest", "left_semi").join(merge_copies(rows.join(mixed, "digest", "left_semi"), salts), ["digest", "text"]).drop("text")
-        )
+        shared = rows.join(mixed, "digest", "left_semi")
+        found = _looked_up(alone, single).unionByName(shared.join(merge_copies(shared, salts), ["digest", "text"]).drop("text"))
     return found.select(
         F.col("id").alias(id_col),
         "digest",
