@@ -150,8 +150,9 @@ def test_smooth_geometry_failures(spark, wide):
     wider, longer = [(x, 6 * y) for x, y in FOOTPRINT], [(20 * x, y) for x, y in FOOTPRINT]
     assert S.search_smooth_routes(wide, wider, on).first().failure_reason == "footprint_wider_than_aisle"
     assert S.search_smooth_routes(wide, longer, on).first().failure_reason == "footprint_longer_than_aisle"
-    exact = aisles(spark, rect(10, 20, 16, 40))  # just as long as the footprint: stations coincide
-    assert S.search_smooth_routes(exact, FOOTPRINT, on).first().failure_reason == "no_feasible_first_transition"
+    exact = aisles(spark, rect(10, 20, 15, 40))  # just as long as the footprint, without a rounding error: stations coincide
+    half = [(0.25, 0.2), (0.25, -0.2), (-0.25, -0.2), (-0.25, 0.2)]
+    assert S.search_smooth_routes(exact, half, on).first().failure_reason == "no_feasible_first_transition"
 
 
 def test_hull_is_convex_and_holds_all_points():
