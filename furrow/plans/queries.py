@@ -93,7 +93,7 @@ def ground_traversability_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def row_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corridor.row_direction(t.mask(spark, sf_dir).where("y < 40")).select(*[rounded(c) for c in ("angle_rad", "dx", "dy")])
+    return corridor.row_direction(t.mask(spark, sf_dir)).select(*[rounded(c) for c in ("angle_rad", "dx", "dy")])
 
 
 @query
@@ -103,7 +103,7 @@ def connected_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def corridor_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = t.mask(spark, sf_dir).where("y < 40").withColumn("trav", F.lit(grids.TRAVERSABLE))
+    cells = t.mask(spark, sf_dir).withColumn("trav", F.lit(grids.TRAVERSABLE))
     return corridor.skeletonise(corridor.extract_corridor(cells, corridor.row_direction(cells), 8)).select("x", "y")
 
 
