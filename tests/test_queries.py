@@ -10,7 +10,7 @@ from furrow.plans.queries import QUERIES
 
 @pytest.fixture(scope="module")
 def tall(spark, tmp_path_factory):
-    """A grid of 120 x 130 cells, so that its main axis runs along y, with suppliers for 24 aisles but the grid's end."""
+    """A grid of 120 x 130 cells, so that its main axis runs along y, with more suppliers than aisles that fit."""
     folder = str(tmp_path_factory.mktemp("tall"))
     custkeys = np.random.default_rng(3).integers(0, 4000, 120 * 130).tolist()
     spark.createDataFrame(list(enumerate(custkeys)), "o_orderkey long, o_custkey long").write.parquet(f"{folder}/orders.parquet")
@@ -52,3 +52,12 @@ def test_corridor_reads_the_whole_mask(spark, tall):
     score = abs(float(direction(mask) @ direction(kept)))
     assert score > 0.75 and max(y for _, y in kept) > 100
     assert {(r.x, r.y) for r in QUERIES["corridor_cells"](spark, folder).collect()} == kept
+
+
+def test_every_aisle_on_the_grid_is_looked_at(spark, tall):
+    folder, _ = tall
+    on_grid = [k for k in range(40) if 6 * k + 5 <= 129]
+    assert len(on_grid) == 21
+    assert sorted(r.aisle_id for r in QUERIES["aisle_geometry"](spark, folder).collect()) == on_grid
+    strips = {(x, y) for k in on_grid for x in range(2, 118) for y in range(6 * k + 1, 6 * k + 6)}
+    assert {(r.x, r.y) for r in QUERIES["navigation_layers"](spark, folder).where("is_aisle").collect()} == strips
