@@ -165,6 +165,7 @@ def aisle_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: In the SQL alone, which is left as it is; the queries take the operators' defaults.
 SPACING, STEP = 0.5, 0.05
 
 
@@ -174,41 +175,41 @@ def _map(spark: SparkSession, sf_dir: str) -> sweep.Map:
 
 @query
 def footprint_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sweep.validate_footprint(t.aisles(spark, sf_dir), t.FOOTPRINT, _map(spark, sf_dir), SPACING)
+    found = sweep.validate_footprint(t.aisles(spark, sf_dir), t.FOOTPRINT, _map(spark, sf_dir))
     keep = ("aisle_id", "label", "pose_count", "passed", "collision_pose_count", "unknown_overlap_pose_count", "candidate_overlap_pose_count", "out_of_bounds_pose_count", "first_failure_reason")
     return found.select(*keep, rounded("min_blocked_clearance_m"), rounded("first_failure_x", F.col("first_failure_pose.x_cell")))
 
 
 @query
 def footprint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sweep.summary(sweep.validate_footprint(t.aisles(spark, sf_dir), t.FOOTPRINT, _map(spark, sf_dir), SPACING))
+    found = sweep.summary(sweep.validate_footprint(t.aisles(spark, sf_dir), t.FOOTPRINT, _map(spark, sf_dir)))
     return found.withColumn("failed_aisles", F.array_join("failed_aisles", ","))
 
 
 @query
 def offset_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sweep.offsets_across(t.aisles(spark, sf_dir), t.FOOTPRINT, t.GRID_RESOLUTION, STEP)
+    found = sweep.offsets_across(t.aisles(spark, sf_dir), t.FOOTPRINT, t.GRID_RESOLUTION)
     return found.select("aisle_id", F.posexplode("offsets").alias("k", "offset_m")).select("aisle_id", "k", rounded("offset_m"))
 
 
 @query
 def offset_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sweep.offset_routes(t.aisles(spark, sf_dir), t.FOOTPRINT, _map(spark, sf_dir), SPACING, STEP)
+    found = sweep.offset_routes(t.aisles(spark, sf_dir), t.FOOTPRINT, _map(spark, sf_dir))
     keep = ("aisle_id", "passed", *sweep.COUNTS, "first_failure_reason")
     return found.select(*keep, rounded("offset_m"), *[rounded(c) for c in sweep.CLEARANCES])
 
 
 @query
 def offset_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sweep.search_offsets(t.aisles(spark, sf_dir), t.FOOTPRINT, _map(spark, sf_dir), SPACING, STEP)
+    found = sweep.search_offsets(t.aisles(spark, sf_dir), t.FOOTPRINT, _map(spark, sf_dir))
     keep = ("aisle_id", "label", "tested_offset_count", "feasible_offset_count", "centerline_passed", "passed", "route_recovered", "best_candidate_overlap_pose_count", "best_attempt_blocking_pose_count", "best_attempt_collision_pose_count", "best_attempt_unknown_pose_count")
     return found.select(*keep, *[rounded(c) for c in ("offset_min_m", "offset_max_m", "best_offset_m", "best_clearance_p10_m", "best_min_blocked_clearance_m", "best_attempt_offset_m")])
 
 
 def _smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     on, lanes = _map(spark, sf_dir), t.aisles(spark, sf_dir)
-    before = sweep.search_offsets(lanes, t.FOOTPRINT, on, SPACING, STEP).select("label", "passed")
-    return smooth_route.search_smooth_routes(lanes, t.FOOTPRINT, on, 0.25, 1.0, 0.06, 0.12, baseline=before)
+    before = sweep.search_offsets(lanes, t.FOOTPRINT, on).select("label", "passed")
+    return smooth_route.search_smooth_routes(lanes, t.FOOTPRINT, on, baseline=before)
 
 
 @query

@@ -61,3 +61,17 @@ def test_every_aisle_on_the_grid_is_looked_at(spark, tall):
     assert sorted(r.aisle_id for r in QUERIES["aisle_geometry"](spark, folder).collect()) == on_grid
     strips = {(x, y) for k in on_grid for x in range(2, 118) for y in range(6 * k + 1, 6 * k + 6)}
     assert {(r.x, r.y) for r in QUERIES["navigation_layers"](spark, folder).where("is_aisle").collect()} == strips
+
+
+def test_routes_meet_what_lies_between_poses_half_a_metre_apart(spark, tmp_path):
+    """Two aisles, the second one shut by a wall one cell thick at x = 5."""
+    keys = [(k, 211 if k % 120 == 5 and 7 <= k // 120 <= 11 else 1) for k in range(120 * 13)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(0,), (1,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+
+    def found(name):
+        return sorted(QUERIES[name](spark, str(tmp_path)).collect(), key=lambda r: r.aisle_id)
+
+    assert [(r.pose_count, r.passed, r.first_failure_reason) for r in found("footprint_validation")] == [(114, True, None), (114, False, "occupied")]
+    assert [(r.tested_offset_count, r.feasible_offset_count, r.passed) for r in found("offset_search")] == [(7, 7, True), (7, 0, False)]
+    assert [(r.control_point_count, r.tested_offset_count, r.b1_passed, r.passed) for r in found("smooth_routes")] == [(24, 7, True, True), (24, 7, False, False)]
