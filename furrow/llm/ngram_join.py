@@ -110,7 +110,7 @@ def count_frequent(rows: DataFrame, n: int, order_size: int) -> GlobalOrder:
 
 
 def _prefixes(rows: DataFrame, order: Broadcast, n: int, num: int, den: int) -> DataFrame:
-    """(id, n, k1, k2, rare, frequent) for every row; both parts of the prefix are null for sets met before in the task."""
+    """(id, n, k1, k2, rare, frequent) for every row; both parts of the prefix are null for sets met before in the task and for null ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -122,7 +122,7 @@ def _prefixes(rows: DataFrame, order: Broadcast, n: int, num: int, den: int) ->
             frequent: list = [None] * batch.num_rows
             for i, grams in _sets(batch.column(1), n):
                 size[i], keys[i] = len(grams), (own := _class_of(grams))
-                if own not in seen:
+                if own not in seen and batch.column(0)[i].is_valid:  # a row without an id enters no bucket
                     seen.add(own)
                     rare[i], frequent[i] = (x.view(np.int64) for x in order.value.prefix(grams, len(grams) + num * len(grams) // -den + 1))
             columns = [batch.column(0), pa.array(size), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(rare, longs), pa.array(frequent, longs)]
