@@ -18,7 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.shared import fresh, materialise
+from furrow.llm.shared import keep_chosen
+from furrow.storage import materialise
 
 
 def sha256_of(text: Column) -> Column:
@@ -81,8 +82,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` does not keep; all columns stay as they are."""
-    own_id, own_digest = fresh(docs, "gone_id"), fresh(docs, "gone_digest")
-    gone = exact_dedup(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col(id_col).alias(own_id), F.col("digest").alias(own_digest)).distinct()
-    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (sha256_of(F.coalesce(F.col(text_col), F.lit(""))) == F.col(own_digest))
-    return docs.join(gone, same, "left_anti")
+    """``docs`` with one row of each group of copies: a row that ``exact_dedup`` keeps, and one of its twins.
+
+    All columns stay as they are. Rows with the same id and text are one document; which of them stays is not defined.
+    """
+    found = exact_dedup(docs, id_col, text_col, salts).where("group_size > 1")
+    marked = materialise(found.select(F.col(id_col).alias("id"), F.col("digest").alias("key"), "kept"), "marked")
+    return keep_chosen(docs, marked, id_col, sha256_of(F.coalesce(F.col(text_col), F.lit(""))))

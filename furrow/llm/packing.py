@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.shared import map_texts, materialise
+from furrow.llm.shared import map_texts
 from furrow.llm.text_arrays import words
+from furrow.storage import materialise
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from furrow.llm.text_arrays import blocks
+from furrow.storage import materialise
 
 #: More classes than this are not a classification problem the samplers accept.
 MAX_CLASSES = 1000
@@ -22,26 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="furrow-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -50,6 +29,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit hash that tells the texts of one id apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def keep_chosen(docs: DataFrame, marked: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """``docs`` less the rows that marked(id, key, kept) drops; of rows that share a kept id and key, any one.
+
+    ``key`` is the expression over ``docs`` that ``marked`` holds as key. Rows that ``marked`` does not name stay.
+    """
+    own_id, own_key = fresh(docs, "gone_id"), fresh(docs, "gone_key")
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (key == F.col(own_key))
+    marked = marked.select(F.col("id").alias(own_id), F.col("key").alias(own_key), "kept")
+    left = docs.join(marked.where(~F.col("kept")).drop("kept").distinct(), same, "left_anti")
+    again = marked.where("kept").groupBy(own_id, own_key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = materialise(again, "twins")
+    if again.isEmpty():
+        return left
+    one = left.join(again, same, "left_semi").withColumn(own_key, key).dropDuplicates([id_col, own_key]).drop(own_key)
+    return left.join(again, same, "left_anti").unionByName(one)
+
+
 def fold(key: Column | str, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``. A null key falls in fold 0."""
     key = F.col(key) if isinstance(key, str) else key
