@@ -1,25 +1,28 @@
 """N-gram Jaccard join: globally ordered shingle sets, prefix filtering, and prefix trees over whole sets.
 
-1. Order. One pass counts, chunk by chunk, the shingles that several texts of a chunk share; the ``order_size`` most
-   frequent of them (a fixed bound) go last in the global order, by count, all others first, by hash. Any order gives
-   the same result; this one keeps passages that many texts share out of the prefixes.
+1. Order. One pass counts, chunk by chunk, the shingles that several texts of a chunk share, and one in ``RARE`` of the
+   others, so that a shingle spread thinly over many chunks shows as well. About the ``order_size`` most frequent (a
+   fixed bound) go last in the global order, by count, all others first, by hash. Any order gives the same result;
+   this one keeps passages that many texts share out of the prefixes.
 2. Prefixes. Two sets at the threshold or above share a shingle among the first |x| - ceil(t|x|) + 1 of each. Texts
    with equal sets are one class from here on, so copies cost nothing.
 3. Buckets. Among the classes that have a shingle in their prefixes, the least is the leader; a class goes to the
    bucket of each of its leaders. Two similar classes share a prefix shingle, so they meet in its leader's bucket.
    Groups are never listed: a group costs a row per member.
 4. Trees. Each bucket's whole sets form a prefix tree that is traversed once per set, sharing the overlaps of common
-   paths and pruning by remaining length; sets already connected are not compared. A bucket beyond
-   ``bucket_grams`` shingles is cut into blocks that each also hold the leader; only the sets that did not join the
-   leader there are then compared with the other blocks. No pair is ever emitted, only one link per set.
+   paths and pruning by remaining length; sets already connected are not compared. A bucket of more than
+   ``bucket_grams`` shingles (and more than ``LEAST`` sets) is cut into blocks that each also hold the leader. The
+   sets that did not join the leader there are few where a bucket holds copies; they are gathered in blocks of their
+   own, each of which is compared with every block of the bucket. No pair is ever emitted, only one link per set.
 5. Components of the links, by star contraction.
 
-Shingles are 64-bit hashes, classes 128-bit sums of them.
+Shingles are 64-bit hashes, classes 128-bit sums of them. Links join classes, so an id that several texts share joins
+only those that are alike.
 
 Defined cases: a null or empty text, or one of separators only, has an empty set and is linked with nothing, not even
 its like; fewer words than ``n`` form one shingle; equal sets (repeated rows too) are linked; a row with a null id
-takes no part and has itself, null, as component; an empty table gives an empty result. Only the id and the text are
-read, so other columns cannot clash. Ids are integers.
+takes no part and has itself, null, as component; rows that share an id have a result each; an empty table gives an
+empty result. Only the id and the text are read, so other columns cannot clash. Ids are integers.
 """
 
 from __future__ import annotations
@@ -33,13 +36,20 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.components import connected_components
 from furrow.llm.prefix_tree import link_sets
-from furrow.llm.shared import fresh, materialise
+from furrow.llm.shared import keep_chosen, text_key
 from furrow.llm.text_arrays import blocks, mix, shingles, words
+from furrow.operators.components import connected_components
+from furrow.storage import materialise
 
 #: Shingles that the first pass sorts at a time.
 CHUNK = 1 << 21
+#: Of the shingles that a chunk holds once, one in 2**6 counts.
+RARE = 6
+#: Steps of the logarithm of counts by which the global order's table is cut off.
+STEPS = 16
+#: Sets that one block may always hold.
+LEAST = 32
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -75,14 +85,14 @@ def _class_of(grams: np.ndarray) -> tuple[int, int]:
 
 
 def count_frequent(rows: DataFrame, n: int, order_size: int) -> GlobalOrder:
-    """The global order of the shingles of rows(id, text)."""
+    """The global order of the shingles of rows(text). A shingle outside the table is rarer than all in it, or nearly."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
 
         def flush() -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
-            some = counts >= 2
+            some = (counts >= 2) | (mix(grams ^ mix(held[0][:1])) >> np.uint64(64 - RARE) == 0)  # drawn anew for each chunk
             return pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], names=["gram", "n"])
 
         for batch in batches:
@@ -101,7 +111,20 @@ def count_frequent(rows: DataFrame, n: int, order_size: int) -> GlobalOrder:
             yield flush()
 
     counted = rows.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "gram").limit(order_size).toArrow()
+    step = F.floor(F.log2(F.col("n").cast("double")) * STEPS).cast("int")
+    counted = materialise(counted.where("n >= 2").withColumn("step", step), "counted")
+    taken, cut = 0, None
+    for r in sorted(counted.groupBy("step").count().collect(), reverse=True):  # a few hundred rows at most
+        if taken + r["count"] > order_size:
+            cut = r
+            break
+        taken += r["count"]
+    if cut is None:
+        top = counted
+    else:  # of the step in which the table fills, a share by hash
+        some = F.pmod(F.xxhash64("gram"), F.lit(cut["count"])) < order_size - taken
+        top = counted.where((F.col("step") > cut["step"]) | ((F.col("step") == cut["step"]) & some))
+    top = top.select("gram", "n").toArrow()  # order_size rows or hardly more
     grams, n_of = top["gram"].to_numpy().view(np.uint64), top["n"].to_numpy()
     rank = np.empty(len(grams), np.int64)
     rank[np.lexsort((grams, n_of))] = np.arange(len(grams))
@@ -110,25 +133,30 @@ def count_frequent(rows: DataFrame, n: int, order_size: int) -> GlobalOrder:
 
 
 def _prefixes(rows: DataFrame, order: Broadcast, n: int, num: int, den: int) -> DataFrame:
-    """(id, n, k1, k2, rare, frequent) for every row; both parts of the prefix are null for sets met before in the task and for null ids."""
+    """(id, key, n, k1, k2, rare, frequent) for each of rows(id, key, text).
+
+    Both parts of the prefix are null for sets met before in the task and for null ids.
+    """
+    longs = pa.list_(pa.int64())
+    kinds = {"id": pa.int64(), "key": pa.int64(), "n": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "rare": longs, "frequent": longs}
+    schema = pa.schema(list(kinds.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        longs = pa.list_(pa.int64())
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("rare", longs), ("frequent", longs)])
         for batch in batches:
             size, keys = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 2), np.int64)
             rare: list = [None] * batch.num_rows
             frequent: list = [None] * batch.num_rows
-            for i, grams in _sets(batch.column(1), n):
+            for i, grams in _sets(batch.column(2), n):
                 size[i], keys[i] = len(grams), (own := _class_of(grams))
                 if own not in seen and batch.column(0)[i].is_valid:  # a row without an id enters no bucket
                     seen.add(own)
-                    rare[i], frequent[i] = (x.view(np.int64) for x in order.value.prefix(grams, len(grams) + num * len(grams) // -den + 1))
-            columns = [batch.column(0), pa.array(size), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(rare, longs), pa.array(frequent, longs)]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                    length = len(grams) + num * len(grams) // -den + 1
+                    rare[i], frequent[i] = (x.view(np.int64) for x in order.value.prefix(grams, length))
+            found = [pa.array(size), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(rare, longs), pa.array(frequent, longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], schema=schema)
 
-    return rows.mapInArrow(run, "id long, n long, k1 long, k2 long, rare array<long>, frequent array<long>")
+    return rows.mapInArrow(run, "id long, key long, n long, k1 long, k2 long, rare array<long>, frequent array<long>")
 
 
 def _memberships(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -154,114 +182,148 @@ def _memberships(sets: DataFrame, num: int, den: int) -> DataFrame:
     return rare.where("bucket < top").select("bucket", "k1").unionByName(frequent.select("bucket", "k1")).distinct()
 
 
+_LINKS = {"bucket": "long", "block": "long", "role": "int", "a": "long", "b": "long", "core": "boolean"}
+
+
 def _links(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(bucket, block, role, a, b, core) from rows(bucket, block, role, id, core, k1, k2, text).
+    """(bucket, block, role, a, b, core) from rows(bucket, block, role, node, core, text): a node, and one it links to.
 
-    Texts travel, not sets: they take less room, and their shingles are cheap. A row whose text is not of its class
-    (an id may repeat with another text) goes. role 0: the leader; 1: a set to compare with all others; 2: a set to be compared with only.
+    Texts travel, not sets: they take less room, and their shingles are cheap. role 0: the leader; 1: a set to compare
+    with all others; 2: a set to be compared with only. core: connected with the leader, before and after.
     """
-    schema = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("role", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("core", pa.bool_())])
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in _LINKS.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, roles, sets, cores = None, [], [], [], []
+        key, nodes, roles, sets, cores = None, [], [], [], []
         out: list[tuple] = []
 
         def close() -> None:
-            if len(ids) > 1:
-                start = np.arange(len(ids))
+            if len(nodes) > 1:
+                start = np.arange(len(nodes))
                 known = np.flatnonzero(cores)
                 start[known] = known[0] if len(known) else 0  # sets that met at the leader are connected already
-                first = sorted(range(len(ids)), key=lambda i: roles[i])
-                label = link_sets(sets, num, den, start, [i for i in first if roles[i] < 2])
+                first = sorted(range(len(nodes)), key=lambda i: roles[i])
+                label = link_sets(sets, num, den, start, [i for i in first if roles[i] < 2]).tolist()
                 least: dict[int, int] = {}
-                for i, c in zip(ids, label.tolist(), strict=True):
+                for i, c in zip(nodes, label, strict=True):
                     least[c] = min(least.get(c, i), i)
-                lead = next((label[i] for i in range(len(ids)) if roles[i] == 0), None)
-                out.extend((*key, r, i, least[c], c == lead) for i, r, c in zip(ids, roles, label.tolist(), strict=True))
+                lead = next((label[i] for i in range(len(nodes)) if roles[i] == 0), None)
+                out.extend((*key, r, i, least[c], c == lead) for i, r, c in zip(nodes, roles, label, strict=True))
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
 
         for batch in batches:
-            row = list(zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True))
-            for i, grams in _sets(batch.column(7), n):
+            row = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
+            for i, grams in _sets(batch.column(5), n):
                 now = row[i]
-                if _class_of(grams) != now[5:]:
-                    continue
                 if key != now[:2]:
                     close()
-                    key, ids, roles, sets, cores = now[:2], [], [], [], []
+                    key, nodes, roles, sets, cores = now[:2], [], [], [], []
                 roles.append(now[2])
-                ids.append(now[3])
+                nodes.append(now[3])
                 cores.append(now[4])
                 sets.append(grams.copy())
             if len(out) > 50_000:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+                yield flush()
                 out = []
         close()
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+        yield flush()
 
-    rows = members.select("bucket", "block", "role", "id", "core", "k1", "k2", "text")
+    rows = members.select("bucket", "block", "role", "node", "core", "text")
     rows = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    return rows.mapInArrow(run, "bucket long, block long, role int, a long, b long, core boolean")
+    return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in _LINKS.items()))
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100, order_size: int = 1 << 20, bucket_grams: int = 1 << 19) -> DataFrame:
-    """(``id_col``, n_shingles, component_id) for every row; documents with Jaccard similarity num/den or more are linked."""
+def _classes(
+    docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, order_size: int, bucket_grams: int
+) -> tuple[DataFrame, DataFrame]:
+    """(rows(id, key, n, k1, k2), classes(k1, k2, first)): every row's class; of every class that is linked or has
+    copies, the least (id, key) of its component."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     order = spark.sparkContext.broadcast(count_frequent(rows, n, order_size))
     sets = materialise(_prefixes(rows, order, n, num, den), "sets")
     some = sets.where("n > 0 and id is not null")
-    classes = some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    classes = some.groupBy("k1", "k2").agg(F.min(F.struct("id", "key")).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     members = materialise(_memberships(some, num, den), "members")
     buckets = members.groupBy("k1").agg(F.collect_set("bucket").alias("buckets"))  # at most one a prefix shingle
     chosen = materialise(classes.join(buckets, "k1"), "candidates")
 
     # large buckets are dealt out in blocks, the leader to each of them
-    placed = chosen.select("rep", "k1", "k2", "n", F.explode("buckets").alias("bucket"))
-    large = placed.groupBy("bucket").agg(F.sum("n").alias("grams")).where(F.col("grams") > bucket_grams)
-    large = materialise(large.select("bucket", F.ceil(F.col("grams") / bucket_grams).cast("long").alias("blocks")), "large")
+    placed = chosen.select("node", "k1", "n", F.explode("buckets").alias("bucket"))
+    large = placed.groupBy("bucket").agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("sets"))
+    count = F.least(F.ceil(F.col("grams") / bucket_grams), F.ceil(F.col("sets") / LEAST)).cast("long")
+    large = materialise(large.select("bucket", count.alias("blocks")).where("blocks > 1"), "large")
     several = not large.isEmpty()
-    own_block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     if several:
         placed = placed.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     else:
         placed = placed.withColumn("blocks", F.lit(1).cast("long"))
     leads = F.col("k1") == F.col("bucket")
+    own_block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     blocks_of = F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own_block))
-    places = placed.withColumn("block", F.explode(blocks_of)).select(F.col("rep").alias("id"), "bucket", "block", F.when(leads, 0).otherwise(1).alias("role"))
-    per_class = places.groupBy("id").agg(F.collect_list(F.struct("bucket", "block", "role")).alias("places"))
-    asked = chosen.select(F.col("rep").alias("id"), "k1", "k2")
-    dealt = rows.join(asked.join(per_class, "id"), "id").select("id", "k1", "k2", "text", F.explode("places").alias("p"), F.lit(False).alias("core"))
+    places = placed.withColumn("block", F.explode(blocks_of)).select("node", "bucket", "block", F.when(leads, 0).otherwise(1).alias("role"))
+    per_class = places.groupBy("node").agg(F.collect_list(F.struct("bucket", "block", "role")).alias("places"))
+    asked = chosen.select("node", "n", "first.id", "first.key")
+    dealt = rows.join(asked.join(per_class, "node"), ["id", "key"]).select("node", "text", F.explode("places").alias("p"), F.lit(False).alias("core"))
     links = materialise(_links(dealt.select("*", "p.*"), n, num, den), "links")
     edges = links.select("a", "b")
     if several:
-        edges = edges.unionByName(_across_blocks(links, large, rows.join(asked, "id"), n, num, den))
+        edges = edges.unionByName(_across_blocks(links, large, asked, rows, n, num, den, bucket_grams))
 
     found = connected_components(edges.where("a != b"))
-    label = classes.join(found, classes["rep"] == found["node"], "left").where("component is not null or copies > 1")
-    label = label.select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    own = sets.select("id", "n", "k1", "k2").withColumn("has", (F.col("n") > 0) & F.col("id").isNotNull())
-    out = own.join(label.withColumn("has", F.lit(True)), ["has", "k1", "k2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-
-
-def _across_blocks(links: DataFrame, large: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links between blocks of one bucket: the sets that did not join the leader against all sets of the other blocks."""
-    own = links.join(large, "bucket").where("role = 1")
-    rest = own.where("not core").groupBy("bucket", "block").agg(F.count(F.lit(1)).alias("n"))
-    rest = materialise(rest.select("bucket", F.col("block").alias("asking")), "asking")
-    if rest.isEmpty():
+    joined = classes.join(found, "node", "left").where("component is not null or copies > 1")
+    joined = joined.select("k1", "k2", "first", F.coalesce("component", "node").alias("component"))
+    first = joined.groupBy("component").agg(F.min("first").alias("least"))
+    joined = joined.join(first, "component").select("k1", "k2", F.col("least").alias("first"))
+    return sets.select("id", "key", "n", "k1", "k2"), joined
+
+
+def _across_blocks(
+    links: DataFrame, large: DataFrame, asked: DataFrame, rows: DataFrame, n: int, num: int, den: int, bucket_grams: int
+) -> DataFrame:
+    """Links between blocks of one bucket: the sets that did not join the leader, in blocks of their own, against all."""
+    own = links.where("role = 1").join(large, "bucket").select("bucket", "block", "blocks", F.col("a").alias("node"), "core")
+    alone = own.where("not core").join(asked.select("node", "n"), "node")
+    groups = alone.groupBy("bucket").agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("sets"))
+    groups = groups.select("bucket", F.greatest(F.lit(1), F.least(F.ceil(F.col("grams") / bucket_grams), F.ceil(F.col("sets") / LEAST))).cast("long").alias("groups"))
+    groups = materialise(groups, "asking")
+    if groups.isEmpty():
         return links.select("a", "b").limit(0)
-    asks = own.where("not core").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other != block")
-    asks = asks.select("a", "bucket", (F.col("block") * F.col("blocks") + F.col("other")).alias("block"), F.lit(1).alias("role"), F.lit(False).alias("core"))
-    others = own.join(rest, "bucket").where("asking != block")
-    others = others.select("a", "bucket", (F.col("asking") * F.col("blocks") + F.col("block")).alias("block"), F.lit(2).alias("role"), "core")
-    rows = texts.join(asks.unionByName(others).withColumnRenamed("a", "id"), "id")
-    return _links(rows, n, num, den).select("a", "b")
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with only the smallest id of each component; all columns stay as they are."""
-    own = fresh(docs, "gone_id")
-    gone = ngram_join(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(own)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(own), "left_anti")
+    own = own.join(groups, "bucket").withColumn("own", F.when(~F.col("core"), F.pmod(F.xxhash64(F.lit("asking"), "node"), F.col("groups"))))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    asks = own.where("not core").withColumn("other", F.explode(every))
+    asks = asks.select("node", "bucket", (F.col("own") * F.col("blocks") + F.col("other")).alias("block"), F.lit(1).alias("role"), F.lit(False).alias("core"))
+    others = own.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).where("own is null or own != group")
+    others = others.select("node", "bucket", (F.col("group") * F.col("blocks") + F.col("block")).alias("block"), F.lit(2).alias("role"), "core")
+    texts = rows.join(asked.drop("n"), ["id", "key"]).select("node", "text")
+    return _links(texts.join(asks.unionByName(others), "node"), n, num, den).select("a", "b")
+
+
+def ngram_join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100,
+    order_size: int = 1 << 20, bucket_grams: int = 1 << 14,
+) -> DataFrame:
+    """(``id_col``, n_shingles, component_id) for every row; documents with Jaccard similarity num/den or more are linked."""
+    rows, classes = _classes(docs, id_col, text_col, n, num, den, order_size, bucket_grams)
+    rows = rows.withColumn("has", (F.col("n") > 0) & F.col("id").isNotNull())
+    out = rows.join(classes.withColumn("has", F.lit(True)), ["has", "k1", "k2"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id"))
+
+
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, num: int = 85, den: int = 100,
+    order_size: int = 1 << 20, bucket_grams: int = 1 << 14,
+) -> DataFrame:
+    """``docs`` with one row of each component, one with the smallest id; all columns stay as they are.
+
+    Rows with a null id and rows without words stay. Of several texts with the smallest id one stays, always the same.
+    """
+    rows, classes = _classes(docs, id_col, text_col, n, num, den, order_size, bucket_grams)
+    marked = rows.where("n > 0 and id is not null").join(classes, ["k1", "k2"])
+    marked = marked.select("id", "key", (F.struct("id", "key") == F.col("first")).alias("kept"))
+    return keep_chosen(docs, materialise(marked, "marked"), id_col, text_key(F.col(text_col)))
