@@ -10,12 +10,14 @@ task has sorted and merged beforehand, never on single tokens:
    ends (the continuation count), merged from the shards' partial sums.
 
 The model is files of sorted arrays in the shared folder. Scoring workers map them and look up the distinct words and
-bigrams of each block by binary search; nothing of the model passes through the driver but sums per shard.
+bigrams of each block by binary search; nothing of the model passes through the driver but sums per shard. Shards are
+as many as the input asks for, so that one of them fits a task at any size. A file that is missing is an error.
 
 Defined cases: null and empty texts are one end token; a word unseen in training has the probability of an unknown
 word; after an unseen word the continuation probability stands alone; without training texts every token is unknown
-with probability 1; repeated rows count, and are scored, once each; an empty table gives an empty result. Only the id
-and the text are read, so other columns cannot clash.
+with probability 1; where the counts of counts give no positive discount, as in a few texts repeated over and over, a
+fixed one stands in, so that every text has a positive probability; repeated rows count, and are scored, once each; an
+empty table gives an empty result. Only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from __future__ import annotations
 import atexit
 import io
 import math
-import os
 import shutil
 import tempfile
 import uuid
@@ -36,12 +37,17 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.shared import map_texts, materialise, new_folder
+from furrow.llm.shared import map_texts
 from furrow.llm.text_arrays import blocks, mix, words
+from furrow.storage import materialise, new_folder
 
 END = np.uint64(0x5EED0FE4D0000001)
 #: Tokens that a counting task sorts at a time.
 CHUNK = 1 << 21
+#: Bytes of text for each shard of words, and tokens for each shard of bigrams; both are upper bounds of its entries.
+WORD_SHARD, PAIR_SHARD = 1 << 26, 1 << 21
+#: Discounts of counts 1, 2 and more where none can be estimated.
+FALLBACK = (0.5, 1.0, 1.5)
 BLOBS = "shard long, keys binary, counts binary"
 
 
@@ -67,8 +73,11 @@ _mapped: dict[tuple[str, str], np.ndarray] = {}
 _copies: list[str] = []
 
 
-def _load(folder: str, name: str, kind: type) -> np.ndarray:
-    """The array, mapped; from a store that is no local path, a copy of the worker's own that goes when it ends."""
+def _load(folder: str, name: str) -> np.ndarray:
+    """The array, mapped; from a store that is no local path, a copy of the worker's own that goes when it ends.
+
+    A missing file is an error: it was lost, or the folder is not shared.
+    """
     key = (folder, name)
     if key not in _mapped:
         fs, path = _where(folder)
@@ -78,10 +87,9 @@ def _load(folder: str, name: str, kind: type) -> np.ndarray:
                 _copies.append(tempfile.mkdtemp())
                 atexit.register(shutil.rmtree, _copies[0], ignore_errors=True)
             own = f"{_copies[0]}/{uuid.uuid4().hex}.npy"
-            if fs.get_file_info(local).type == arrow_fs.FileType.File:
-                arrow_fs.copy_files(local, own, source_filesystem=fs, destination_filesystem=arrow_fs.LocalFileSystem())
+            arrow_fs.copy_files(local, own, source_filesystem=fs, destination_filesystem=arrow_fs.LocalFileSystem())
             local = own
-        _mapped[key] = np.load(local, mmap_mode="r") if os.path.exists(local) else np.zeros(0, kind)
+        _mapped[key] = np.load(local, mmap_mode="r")
     return _mapped[key]
 
 
@@ -146,7 +154,7 @@ class Discounts:
     def of(cls, n: list[int]) -> Discounts:
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
         raw = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k * y for k in (1, 2, 3)]
-        return cls(tuple(min(max(d, 0.0), k) for k, d in zip((1, 2, 3), raw, strict=True)))
+        return cls(tuple(d if d > 0 else f for d, f in zip(raw, FALLBACK, strict=True)))
 
     def __call__(self, counts: np.ndarray) -> np.ndarray:
         return np.array([0.0, *self.values])[np.minimum(counts, 3)]
@@ -158,7 +166,8 @@ class LanguageModel:
     #: log2 of the number of word shards; ids at which they begin, then the number of words
     bits: int
     begin: np.ndarray
-    pairs: int
+    #: whether each shard of bigrams holds any
+    filled: np.ndarray
     train_tokens: int
     train_texts: int
     discounts: Discounts
@@ -179,30 +188,29 @@ class LanguageModel:
         shard = (word >> np.uint64(64 - self.bits)).astype(np.int64)
         names, first = np.unique(shard, return_index=True)
         for s, a, b in zip(names, first, np.append(first, len(word))[1:], strict=True):
-            keys = _load(self.folder, f"word-{s}", np.uint64)
-            if not len(keys):
+            if self.begin[s] == self.begin[s + 1]:
                 continue
+            keys = _load(self.folder, f"word-{s}")
             at = np.minimum(np.searchsorted(keys, word[a:b]), len(keys) - 1)
             known = np.flatnonzero(keys[at] == word[a:b])
             ids[a + known] = at[known] + self.begin[s]
             if with_model:
-                count[a + known] = _load(self.folder, f"count-{s}", np.int64)[at[known]]
-                ends[a + known] = _load(self.folder, f"ends-{s}", np.int64)[at[known]]
-                weight[a + known] = _load(self.folder, f"weight-{s}", np.float64)[at[known]]
+                count[a + known] = _load(self.folder, f"count-{s}")[at[known]]
+                ends[a + known] = _load(self.folder, f"ends-{s}")[at[known]]
+                weight[a + known] = _load(self.folder, f"weight-{s}")[at[known]]
         return ids, count, ends, weight
 
     def pair_counts(self, pair: np.ndarray) -> np.ndarray:
         """Counts of distinct bigram keys."""
         out = np.zeros(len(pair), np.int64)
-        shard = _pair_shard(pair, self.pairs)
+        shard = _pair_shard(pair, len(self.filled))
         order = np.argsort(shard, kind="stable")
         names, first = np.unique(shard[order], return_index=True)
         for s, a, b in zip(names, first, np.append(first, len(pair))[1:], strict=True):
-            keys = _load(self.folder, f"pair-{s}", np.uint64)
-            if len(keys):
-                own = order[a:b]
+            if self.filled[s]:
+                keys, own = _load(self.folder, f"pair-{s}"), order[a:b]
                 at = np.minimum(np.searchsorted(keys, pair[own]), len(keys) - 1)
-                out[own] = np.where(keys[at] == pair[own], _load(self.folder, f"pair-count-{s}", np.uint32)[at], 0)
+                out[own] = np.where(keys[at] == pair[own], _load(self.folder, f"pair-count-{s}")[at], 0)
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -233,12 +241,12 @@ def _pair_shard(pair: np.ndarray, pairs: int) -> np.ndarray:
 
 
 def train_language_model(docs: DataFrame, text_col: str = "text", shards: int | None = None) -> LanguageModel:
-    """Count ``docs`` and write the model to a new folder under the shared one. ``shards``: of bigrams, twice the shuffle partitions if None."""
+    """Count ``docs`` and write the model to a new folder under the shared one. ``shards``: of bigrams, by their number if None."""
     spark = docs.sparkSession
     rows = docs.select(text_col)
     folder = new_folder(spark, "language-model")
-    pairs = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(3, math.ceil(math.log2(pairs / 2)))
+    size = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = max(3, math.ceil(math.log2(max(1, size / WORD_SHARD))))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -270,8 +278,10 @@ def train_language_model(docs: DataFrame, text_col: str = "text", shards: int |
     begin = np.concatenate([[0], np.cumsum(sizes)])
     if begin[-1] >= 1 << 32:
         raise ValueError("more than 2**32 distinct words do not fit the bigram keys")
-    model = LanguageModel(folder, bits, begin, pairs, sum(r["tokens"] for r in found), sum(r["texts"] for r in found), Discounts((0.0,) * 3), Discounts((0.0,) * 3), 0, 1.0, 1.0)
-    if not model.train_texts:
+    tokens_, texts = sum(r["tokens"] for r in found), sum(r["texts"] for r in found)
+    pairs = shards or max(8, -(-tokens_ // PAIR_SHARD))
+    model = LanguageModel(folder, bits, begin, np.zeros(pairs, bool), tokens_, texts, Discounts(FALLBACK), Discounts(FALLBACK), 0, 1.0, 1.0)
+    if not texts:
         return model
 
     def pair_rows(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -304,9 +314,9 @@ def train_language_model(docs: DataFrame, text_col: str = "text", shards: int |
         s = key[0].as_py()
         keys, counts = _merge([_decode(x.as_py()) for x in part["keys"]], [_unplanes(x.as_py(), np.uint32) for x in part["counts"]])
         _save(folder, f"pair-{s}", keys)
-        _save(folder, f"pair-count-{s}", np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
+        _save(folder, f"pair-count-{s}", counts.astype(np.uint32 if counts.max() < 1 << 32 else np.int64))
         base = np.uint64(model.words + 1)
-        rows = [(-1, 0, b"", b"", b"", b"", [len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4))])]
+        rows = [(-1, s, b"", b"", b"", b"", [len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4))])]
         u, *kinds = _merge([keys // base], [counts == 1], [counts == 2], [counts >= 3])
         v, ends = _merge([keys % base], [np.ones(len(keys), np.int64)])
         for kind, ids, values in ((0, u, kinds), (1, v, [ends])):
@@ -319,8 +329,11 @@ def train_language_model(docs: DataFrame, text_col: str = "text", shards: int |
 
     schema = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("ids", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("n", pa.list_(pa.int64()))])
     parts = materialise(rows.mapInArrow(count_pairs, BLOBS).groupBy("shard").applyInArrow(merge_pairs, partial), "contexts")
-    sums = parts.where("shard < 0").select([F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(5)]).first()
-    discounts = Discounts.of([sums[k] for k in (1, 2, 3, 4)])
+    merged = parts.where("shard < 0").select("kind", "n").collect()  # five numbers a shard
+    filled = np.zeros(pairs, bool)
+    filled[[r["kind"] for r in merged]] = True
+    types, *n = np.sum([r["n"] for r in merged], axis=0).tolist()
+    discounts = Discounts.of(n)
 
     def merge_contexts(key, part):
         s = key[0].as_py()
@@ -333,7 +346,7 @@ def train_language_model(docs: DataFrame, text_col: str = "text", shards: int |
                 ends[at] += _unplanes(blobs[0], np.uint32)
             else:
                 left[at] += sum(d * _unplanes(x, np.uint32) for d, x in zip(discounts.values, blobs, strict=True))
-        counts = _load(folder, f"count-{s}", np.int64) if s < len(sizes) else np.array([model.train_texts])
+        counts = _load(folder, f"count-{s}") if s < len(sizes) else np.array([model.train_texts])
         weight = left / np.maximum(1, counts)
         _save(folder, f"ends-{s}", ends)
         _save(folder, f"weight-{s}", weight)
@@ -342,9 +355,9 @@ def train_language_model(docs: DataFrame, text_col: str = "text", shards: int |
     got = parts.where("shard >= 0").drop("n").groupBy("shard").applyInArrow(merge_contexts, "shard long, weight double, n array<long>").collect()
     n = np.sum([r["n"] for r in got if r["shard"] < len(sizes)], axis=0).tolist()
     continuation = Discounts.of(n[:4])
-    rest = sum(d * x for d, x in zip(continuation.values, (n[0], n[1], n[4]), strict=True)) / max(1, sums[0])
+    rest = sum(d * x for d, x in zip(continuation.values, (n[0], n[1], n[4]), strict=True)) / max(1, types)
     start = next((r["weight"] for r in got if r["shard"] == len(sizes)), 1.0)
-    return LanguageModel(folder, bits, begin, pairs, model.train_tokens, model.train_texts, discounts, continuation, sums[0], rest, start)
+    return LanguageModel(folder, bits, begin, filled, tokens_, texts, discounts, continuation, types, rest, start)
 
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array | None]:
