@@ -12,9 +12,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.llm import chat_format, components, decontamination, exact_dedup, language_id, language_model, ngram_join, packing, quality, toxicity, url_filter
+from furrow.llm import chat_format, decontamination, exact_dedup, language_id, language_model, ngram_join, packing, quality, toxicity, url_filter
 from furrow.llm.prefix_tree import link_sets
 from furrow.llm.text_arrays import buffers, shingles, words
+from furrow.operators import components
 
 random = np.random.default_rng(12)
 VOCABULARY = ["The", "cat", "sat", "on", "a", "mat", "éclair", "ñandú", "x", "quick-brown", "Ünder", "l'eau"]
