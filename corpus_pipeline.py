@@ -16,7 +16,8 @@ from furrow.llm.exact_dedup import drop_copies
 from furrow.llm.language_id import keep_languages, train_language_model
 from furrow.llm.ngram_join import keep_one_of_each
 from furrow.llm.packing import pack_documents
-from furrow.llm.shared import materialise, table
+from furrow.llm.shared import table
+from furrow.storage import materialise
 
 #: Near duplicates share at least 0.8 of their shingles of five words.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
