@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.geometry import Axis
+from furrow.functions.labels import label_cells
 from furrow.functions.numbers import rounded_cell
 from furrow.operators.distance import with_distance
 from furrow.operators.layers import FREE, aisle_cells, labelled
@@ -14,20 +16,6 @@ from furrow.operators.layers import FREE, aisle_cells, labelled
 RADII = (0.20, 0.25, 0.30, 0.35, 0.40, 0.50)
 
 
-def reaches(cells: set[tuple[int, int]], start: tuple[int, int], end: tuple[int, int]) -> bool:
-    """Whether steps along sides within ``cells`` lead from start to end, both of which must be among them."""
-    if start not in cells or end not in cells:
-        return False
-    left, ahead = cells - {start}, [start]
-    while ahead and end in left:
-        x, y = ahead.pop()
-        for step in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
-            if step in left:
-                left.remove(step)
-                ahead.append(step)
-    return end not in left
-
-
 def safe_cells(cells: DataFrame, resolution: float, radii: tuple[float, ...] = RADII) -> DataFrame:
     """cells(x, y, base): (x, y, radius) of the free cells at least a radius away from all that is not free."""
     free = with_distance(cells.select("x", "y", "base", (F.col("base") != FREE).alias("blocked")), resolution).where(F.col("base") == FREE)
@@ -46,12 +34,15 @@ def clearance_connectivity(cells: DataFrame, aisles: DataFrame, resolution: floa
     asked = ends.select("*", F.explode(F.array(*[F.lit(float(r)) for r in radii])).alias("radius"))
     inside = aisle_cells(aisles).join(safe_cells(cells, resolution, radii), ["x", "y"]).join(ends.drop("label"), "aisle_id")
 
-    def connect(part: pd.DataFrame) -> pd.DataFrame:
-        first = part.iloc[0]
-        passed = reaches(set(zip(part["x"], part["y"], strict=True)), (first["sx"], first["sy"]), (first["ex"], first["ey"]))
-        return pd.DataFrame({"aisle_id": [first["aisle_id"]], "radius": [first["radius"]], "ok": [passed]})
+    def connect(key, part):
+        x, y = part["x"].to_numpy(), part["y"].to_numpy()
+        label = label_cells(x, y)
+        start, end = (label[(x == part[f"{n}x"][0].as_py()) & (y == part[f"{n}y"][0].as_py())] for n in "se")
+        return pa.table({"aisle_id": [key[0]], "radius": [key[1]], "ok": [len(start) > 0 and len(end) > 0 and bool(np.all(start == end))]})
 
-    found = inside.groupBy("aisle_id", "radius").applyInPandas(connect, "aisle_id int, radius double, ok boolean")
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside = inside.repartition(parts, "aisle_id", "radius")
+    found = inside.groupBy("aisle_id", "radius").applyInArrow(connect, "aisle_id int, radius double, ok boolean")
     return asked.join(found, ["aisle_id", "radius"], "left").select("aisle_id", "label", "radius", F.coalesce("ok", F.lit(False)).alias("passed"))
 
 

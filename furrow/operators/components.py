@@ -1,26 +1,63 @@
-"""Connected components: of edge tables by star contraction, of grid cells by runs of cells."""
+"""Connected components: of edge tables by star contraction, of grid cells by tiles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.functions.labels import components_of, label_cells
 from furrow.storage import materialise
 
+#: So many edges are joined in one task; more go through rounds of joins. The result is the same.
+FEW_EDGES = 1 << 20
+#: Cells to a side of a tile.
+TILE = 256
+
 
 def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("least"))
 
 
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(u, v) pointing each node of at most ``FEW_EDGES`` edges(u, v) at the least one of its component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not parts:
+            return
+        u, v = (np.concatenate(p) for p in zip(*parts, strict=True))
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        label = components_of(len(nodes), at[: len(u)], at[len(u) :])
+        below = np.flatnonzero(label != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(nodes[label[below]])], names=["u", "v"])
+
+    return edges.coalesce(1).mapInArrow(run, "u long, v long")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every end of ``edges`` (a long, b long); a component is its smallest node.
 
     Alternating star contractions (Kiveris et al., 2014): every round points nodes at smaller neighbours, halving
     distances, until each component is a star. Rounds are written to the shared folder; only row counts and a checksum
     reach the driver. Nodes with many edges meet in partial minima and in joins that adaptive execution can split.
+    A table of ``FEW_EDGES`` at most is a task's work and takes no rounds.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     edges = materialise(edges, "edges")
+    if edges.count() <= FEW_EDGES:
+        edges = materialise(_in_one_task(edges), "edges")
+    else:
+        edges = _contracted(edges)
+    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(u, v) pointing each node of edges(u, v), u > v, at the least one of its component, by rounds of joins."""
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,31 +68,37 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges = materialise(small.where("u > v").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before or not now["n"]:
-            break
+            return edges
         before = now
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _id(x: str, y: str) -> F.Column:
-    return F.col(y).cast("long") * (1 << 32) + F.col(x).cast("long")
+def _id(x: Column, y: Column) -> Column:
+    return y.cast("long") * (1 << 32) + x.cast("long")
 
 
-def grid_components(cells: DataFrame) -> DataFrame:
+def grid_components(cells: DataFrame, tile: int = TILE) -> DataFrame:
     """cells(x, y) that touch along sides: (x, y, component), the component being its least cell's number (y, then x).
 
-    Rows are cut into runs of neighbouring cells; runs touch where a cell has a neighbour below it. Components are
-    found over runs, which are far fewer than cells.
+    Every tile of the grid is labelled in one pass; then only cells along the tiles' borders are linked, and components
+    are found over tiles' regions, of which there are far fewer than cells.
     """
-    cells = cells.select("x", "y").distinct()
-    row = Window.partitionBy("y").orderBy("x")
-    cells = cells.withColumn("r", F.col("x") - F.row_number().over(row))
-    cells = cells.withColumn("x0", F.min("x").over(Window.partitionBy("y", "r"))).withColumn("run", _id("x0", "y"))
-    cells = materialise(cells.select("x", "y", "run"), "runs")
-    column = Window.partitionBy("x").orderBy("y")
-    below = cells.withColumn("b", F.when(F.lag("y").over(column) == F.col("y") - 1, F.lag("run").over(column)))
-    found = connected_components(below.where("b is not null").select(F.col("run").alias("a"), "b"))
-    return cells.join(found, cells["run"] == found["node"], "left").select("x", "y", F.coalesce("component", "run").alias("component"))
+    cells = cells.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct()
+    cells = cells.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
+
+    def label(_, part):
+        x, y = part["x"].to_numpy(), part["y"].to_numpy()
+        least = label_cells(x, y)
+        region = y[least].astype(np.int64) * (1 << 32) + x[least]
+        return pa.table({"x": part["x"], "y": part["y"], "region": region})
+
+    marked = materialise(cells.groupBy("tx", "ty").applyInArrow(label, "x int, y int, region long"), "regions")
+    touching = []
+    for axis in "xy":
+        low = marked.where(F.pmod(F.col(axis), F.lit(tile)) == 0).withColumn(axis, F.col(axis) - 1).withColumnRenamed("region", "b")
+        high = marked.where(F.pmod(F.col(axis), F.lit(tile)) == tile - 1).withColumnRenamed("region", "a")
+        touching.append(high.join(low, ["x", "y"]).select("a", "b"))
+    found = connected_components(touching[0].unionByName(touching[1]))
+    return marked.join(found, marked["region"] == found["node"], "left").select("x", "y", F.coalesce("component", "region").alias("component"))
 
 
 def large_components(components: DataFrame, least: int) -> DataFrame:

@@ -3,45 +3,78 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Cells of whole grid rows that a task combines at a time; a longer row is a group of its own.
+STRIP = 1 << 18
 
-def row_minimum(place: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """For each place, the least (place - other)^2 + column[other]^2; ``column`` is infinite where there is none."""
-    size = int(place.max()) + 1 if len(place) else 0
-    square = np.full(size, np.inf)
-    square[place] = column**2
-    best = square.copy()
-    shift = 1
-    while shift < size and shift * shift < best[place].max(initial=0.0):  # farther columns cannot help any more
-        np.minimum(best[shift:], square[:-shift] + shift * shift, out=best[shift:])
-        np.minimum(best[:-shift], square[shift:] + shift * shift, out=best[:-shift])
-        shift += 1
-    return best[place]
 
+def row_minimum(row: np.ndarray, place: np.ndarray, height: np.ndarray) -> np.ndarray:
+    """For each (row, place), the least (place - other)^2 + height[other]^2 in its row; infinite where no height is finite.
 
-def distance_transform(cells: DataFrame) -> DataFrame:
-    """cells(x, y, blocked), dense: (x, y, d2), the squared distance in cells to the nearest blocked cell.
+    Within a row the nearest other moves right as the place does, so it is found for the middle place first, and for
+    either half only between its neighbours' results; all rows and halves of one level at once: n log n in all.
+    Rows and places ascend.
+    """
+    best = np.full(len(row), np.inf)
+    some = np.flatnonzero(np.isfinite(height))
+    if not len(some):
+        return best
+    square, other = height[some] ** 2, place[some].astype(float)
+    rows, first = np.unique(row, return_index=True)
+    last = np.append(first[1:], len(row)) - 1
+    low, high = np.searchsorted(row[some], rows), np.searchsorted(row[some], rows, "right") - 1
+    has = high >= low
+    first, last, low, high = first[has], last[has], low[has], high[has]
+    while len(first):
+        middle = (first + last) // 2
+        count = high - low + 1
+        begin = np.cumsum(count) - count
+        at = np.repeat(low - begin, count) + np.arange(count.sum())
+        cost = (np.repeat(place[middle].astype(float), count) - other[at]) ** 2 + square[at]
+        least = np.minimum.reduceat(cost, begin)
+        best[middle] = least
+        hit = np.flatnonzero(cost == np.repeat(least, count))
+        group = np.repeat(np.arange(len(count)), count)[hit]
+        pick = at[hit[np.concatenate([[True], np.diff(group) > 0])]]
+        left, right = first < middle, middle < last
+        first, last = np.concatenate([first[left], middle[right] + 1]), np.concatenate([middle[left] - 1, last[right]])
+        low, high = np.concatenate([low[left], pick[right]]), np.concatenate([pick[left], high[right]])
+    return best
+
+
+def distance_transform(cells: DataFrame, blocked: str = "blocked") -> DataFrame:
+    """cells(x, y, blocked, …), dense, with d2, the squared distance in cells to the nearest blocked cell.
 
     d2 is 0 on blocked cells and null everywhere if nothing is blocked; the grid's border does not block. Distances
-    along columns come from two running windows; rows then combine them, one row of the grid in memory at a time.
+    along columns come from two running windows; rows then combine them, strips of whole rows at a time, which carry
+    all other columns along.
     """
+    width = cells.agg(F.max("x") - F.min("x") + 1).first()[0] or 1
     column = Window.partitionBy("x").orderBy("y")
-    mark = F.when(F.col("blocked"), F.col("y"))
+    mark = F.when(F.col(blocked), F.col("y"))
     before = F.last(mark, True).over(column.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(mark, True).over(column.rowsBetween(0, Window.unboundedFollowing))
-    near = cells.select("x", "y", F.least(F.col("y") - before, after - F.col("y")).cast("double").alias("g"))
+    near = cells.withColumn("_g", F.least(F.col("y") - before, after - F.col("y")).cast("double"))
+    near = near.withColumn("_strip", F.floor(F.col("y") / max(1, STRIP // width)))
+    schema = T.StructType([*cells.schema.fields, T.StructField("d2", T.LongType())])
 
-    def combine(part: pd.DataFrame) -> pd.DataFrame:
-        best = row_minimum(part["x"].to_numpy(), part["g"].fillna(np.inf).to_numpy())
-        return pd.DataFrame({"x": part["x"], "y": part["y"], "d2": pd.array([None if np.isinf(d) else int(d) for d in best], dtype="Int64")})
+    def combine(_, part):
+        x, y = part["x"].to_numpy(), part["y"].to_numpy()
+        order = np.lexsort((x, y))
+        best = np.empty(len(x))
+        best[order] = row_minimum(y[order], x[order], part["_g"].fill_null(np.inf).to_numpy()[order])
+        none = np.isinf(best)
+        d2 = pa.array(np.where(none, 0, best).astype(np.int64), mask=none)
+        return part.drop_columns(["_g", "_strip"]).append_column("d2", d2)
 
-    return near.groupBy("y").applyInPandas(combine, "x int, y int, d2 long")
+    return near.groupBy("_strip").applyInArrow(combine, schema)
 
 
 def with_distance(cells: DataFrame, resolution: float, what: str = "blocked") -> DataFrame:
     """cells with ``dist_m``, the distance in metres to the nearest cell where the column ``what`` holds."""
-    found = distance_transform(cells.select("x", "y", F.col(what).alias("blocked")))
-    return cells.join(found, ["x", "y"]).withColumn("dist_m", F.sqrt(F.col("d2").cast("double")) * F.lit(float(resolution))).drop("d2")
+    found = distance_transform(cells, what)
+    return found.withColumn("dist_m", F.sqrt(F.col("d2").cast("double")) * F.lit(float(resolution))).drop("d2")

@@ -15,17 +15,21 @@ from pyspark.sql import functions as F
 
 from furrow.functions.geometry import Axis, leaves_grid, placed
 from furrow.functions.numbers import largest_step, linspace
-from furrow.functions.raster import covered_cells
-from furrow.operators.layers import blocked
-from furrow.operators.sweep import Footprint, Map, check, distances_along, evaluate, offsets_across
+from furrow.operators.overlap import overlap
+from furrow.operators.sweep import OFFSET_STEP_M, SAMPLE_SPACING_M, Footprint, Map, check, distances_along, evaluate, offsets_across, span_m
 from furrow.storage import materialise
 
+#: Distance between control points, and how much the offset may change between two.
+CONTROL_SPACING_M, MAX_OFFSET_CHANGE_M = 0.50, 0.10
 #: Fixed weights of the route's cost.
 CLEARANCE, OFFSET, CHANGE, BEND, CANDIDATES = 0.25, 0.20, 1.50, 4.00, 0.005
 AXIS = [f"axis_{n}" for n in ("x0", "y0", "x1", "y1", "cells", "ux", "uy", "width")]
 
 
-def lattice(aisles: DataFrame, footprint: Footprint, resolution: float, control_spacing_m: float = 0.50, offset_step_m: float = 0.05, endpoint_trim_m: float = 0.0) -> DataFrame:
+def lattice(
+    aisles: DataFrame, footprint: Footprint, resolution: float, control_spacing_m: float = CONTROL_SPACING_M, offset_step_m: float = OFFSET_STEP_M,
+    endpoint_trim_m: float = 0.0,
+) -> DataFrame:
     """aisles with ``offsets`` and ``stations`` (distances of the control points; none if the footprint is too long)."""
     points = check(footprint, control_spacing_m=control_spacing_m)
     if endpoint_trim_m < 0:
@@ -34,7 +38,7 @@ def lattice(aisles: DataFrame, footprint: Footprint, resolution: float, control_
     return frames.withColumn("stations", distances_along(F.col("length_along_m"), points, control_spacing_m, 2, endpoint_trim_m))
 
 
-def transitions(frames: DataFrame, max_offset_change_m: float = 0.10) -> DataFrame:
+def transitions(frames: DataFrame, max_offset_change_m: float = MAX_OFFSET_CHANGE_M) -> DataFrame:
     """(aisle_id, input_ord, axis_…, axis_yaw, stage, i, j, d0, d1, o0, o1, heading) of all offset changes within the limit.
 
     Stations at one place (an aisle just as long as the footprint) leave no transition.
@@ -51,20 +55,22 @@ def transitions(frames: DataFrame, max_offset_change_m: float = 0.10) -> DataFra
     return both.where("d1 > d0").withColumn("heading", F.atan2(F.col("o1") - F.col("o0"), F.col("d1") - F.col("d0")))
 
 
-def measured(moves: DataFrame, footprint: Footprint, on: Map) -> DataFrame:
-    """(aisle_id, stage, i, j, o0, o1, passed, candidates, p10): what each transition's swept hull meets."""
+def measured(moves: DataFrame, footprint: Footprint, on: Map, move_m: float) -> DataFrame:
+    """(aisle_id, input_ord, stage, i, j, o0, o1, passed, candidates, p10): what each transition's swept hull meets.
+
+    No transition is longer than ``move_m``.
+    """
     points = check(footprint)
     axis = Axis.columns()
     ends = {f"_{n}{k}": v for k in (0, 1) for n, v in zip("xy", axis.at(F.col(f"d{k}"), F.col(f"o{k}"), on.resolution), strict=True)}
     moves = moves.withColumns(ends).withColumn("_yaw", F.col("axis_yaw") + F.col("heading"))
     bodies = [placed(points, F.col(f"_x{k}"), F.col(f"_y{k}"), F.col("_yaw"), on.resolution) for k in (0, 1)]
-    swept = moves.withColumn("_all", F.concat(*bodies)).withColumn("_leaves", leaves_grid(F.col("_all"), F.lit(on.width), F.lit(on.height)))
-    keys = ["aisle_id", "input_ord", "stage", "i", "j", "o0", "o1"]
-    cells = swept.select(*keys, "_leaves", F.explode_outer(covered_cells(F.col("_all"), convex=True)).alias("_c"))
-    grid = on.grid.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "base", blocked(F.col("base"), on.allow_unknown).alias("_blocked"), "is_candidate", "dist_m")
-    met = cells.join(grid, (F.col("_c.x") == F.col("_x")) & (F.col("_c.y") == F.col("_y")), "left")
-    seen = met.groupBy(*keys, "_leaves").agg(F.count("base").alias("n"), F.coalesce(F.bool_or("_blocked"), F.lit(False)).alias("_hit"), F.count_if("is_candidate").alias("candidates"), F.percentile("dist_m", 0.1).alias("p10"))
-    return seen.withColumn("passed", ~F.col("_leaves") & (F.col("n") > 0) & ~F.col("_hit")).drop("_leaves", "_hit", "n")
+    swept = moves.select("aisle_id", "input_ord", "stage", "i", "j", "o0", "o1", F.concat(*bodies).alias("_all"))
+    swept = swept.withColumn("_leaves", leaves_grid(F.col("_all"), F.lit(on.width), F.lit(on.height)))
+    seen = overlap(swept, "_all", on.grid, (span_m(points) + move_m) / on.resolution, convex=True)
+    stops = F.col("occupied") if on.allow_unknown else F.col("occupied") + F.col("unknown")
+    seen = seen.withColumn("passed", ~F.col("_leaves") & (F.col("cells") > 0) & (stops == 0))
+    return seen.select("aisle_id", "input_ord", "stage", "i", "j", "o0", "o1", "passed", "candidates", F.col("p10_m").alias("p10"))
 
 
 def _near(p10: float | None, resolution: float) -> float:
@@ -111,7 +117,8 @@ def plan(frames: DataFrame, edges: DataFrame, resolution: float) -> DataFrame:
     """(aisle_id, control_offsets_m, failure_reason, failure_region): the program's result for every aisle."""
     rows = frames.select("aisle_id", "input_ord", "offsets", F.size("stations").alias("stations"))
     feasible = edges.where("passed").groupBy("aisle_id", "input_ord").agg(F.collect_list(F.struct("stage", "i", "j", (F.col("o1") - F.col("o0")).alias("change"), "p10", "candidates")).alias("moves"))
-    joined = rows.join(feasible, ["aisle_id", "input_ord"], "left")
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = rows.join(feasible, ["aisle_id", "input_ord"], "left").repartition(parts, "aisle_id")  # one program an aisle, not all in one task
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -176,7 +183,10 @@ def _route(poses: DataFrame) -> DataFrame:
     )
 
 
-def search_smooth_routes(aisles: DataFrame, footprint: Footprint, on: Map, sample_spacing_m: float = 0.10, control_spacing_m: float = 0.50, offset_step_m: float = 0.05, max_offset_change_m: float = 0.10, endpoint_trim_m: float = 0.0, baseline: DataFrame | None = None) -> DataFrame:
+def search_smooth_routes(
+    aisles: DataFrame, footprint: Footprint, on: Map, sample_spacing_m: float = SAMPLE_SPACING_M, control_spacing_m: float = CONTROL_SPACING_M,
+    offset_step_m: float = OFFSET_STEP_M, max_offset_change_m: float = MAX_OFFSET_CHANGE_M, endpoint_trim_m: float = 0.0, baseline: DataFrame | None = None,
+) -> DataFrame:
     """One row per aisle: the smooth route and its metrics, or why and where there is none.
 
     ``baseline`` (label, passed, and optionally an input order ``ord``) holds earlier results; of several for a label
@@ -185,7 +195,8 @@ def search_smooth_routes(aisles: DataFrame, footprint: Footprint, on: Map, sampl
     """
     points = check(footprint, sample_spacing_m=sample_spacing_m)
     frames = materialise(lattice(aisles, points, on.resolution, control_spacing_m, offset_step_m, endpoint_trim_m), "lattice")
-    planned = materialise(plan(frames, measured(transitions(frames, max_offset_change_m), points, on), on.resolution), "planned")
+    moves = measured(transitions(frames, max_offset_change_m), points, on, control_spacing_m + max_offset_change_m)
+    planned = materialise(plan(frames, moves, on.resolution), "planned")
     routes = _route(sampled(frames, planned, points, on, sample_spacing_m))
     out = frames.join(planned, ["aisle_id", "input_ord"]).join(routes, ["aisle_id", "input_ord"], "left")
     if baseline is None:

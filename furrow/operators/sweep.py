@@ -1,25 +1,30 @@
-"""Footprints swept along aisles: poses, their overlap with the map, routes, and the choice among routes.
+"""Footprints swept along aisles: poses, what they cover of the map, routes, and the choice among routes.
 
 An aisle is (aisle_id int, label, polygon, width_m, length_m); the map is grid(x, y, base, is_candidate, dist_m).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.geometry import Axis, extents, leaves_grid, placed
 from furrow.functions.numbers import clip, distinct_within, linspace, steps_within
-from furrow.functions.raster import covered_cells
 from furrow.operators.distance import with_distance
-from furrow.operators.layers import OCCUPIED, UNKNOWN, blocked, labelled
+from furrow.operators.layers import blocked, labelled
+from furrow.operators.overlap import RESULTS, overlap
 from furrow.storage import materialise
 
 Footprint = Sequence[tuple[float, float]]
 
+#: Distance between the poses of a route, and between constant offsets.
+SAMPLE_SPACING_M, OFFSET_STEP_M = 0.10, 0.05
+
 
 def check(footprint: Footprint, **positive: float) -> list[tuple[float, float]]:
     points = [(float(x), float(y)) for x, y in footprint]
@@ -31,6 +36,11 @@ def check(footprint: Footprint, **positive: float) -> list[tuple[float, float]]:
     return points
 
 
+def span_m(footprint: Footprint) -> float:
+    """The greatest distance of two vertices."""
+    return max(math.dist(p, q) for p, q in combinations(footprint, 2))
+
+
 @dataclass(frozen=True)
 class Map:
     """The map with the distance to what blocks, and its size."""
@@ -54,7 +64,8 @@ class Map:
             cells = cells.withColumn("is_candidate", F.lit(False))
         size = cells.agg(F.max("x"), F.max("y")).first()
         marked = cells.select("x", "y", "base", "is_candidate", blocked(F.col("base"), allow_unknown).alias("blocked"))
-        return cls(materialise(with_distance(marked, resolution), "map"), (size[0] if size[0] is not None else -1) + 1, (size[1] if size[1] is not None else -1) + 1, resolution, allow_unknown)
+        width, height = (0 if n is None else n + 1 for n in size)
+        return cls(materialise(with_distance(marked, resolution).drop("blocked"), "map"), width, height, resolution, allow_unknown)
 
 
 def along(aisles: DataFrame, resolution: float) -> DataFrame:
@@ -68,7 +79,7 @@ def along(aisles: DataFrame, resolution: float) -> DataFrame:
     return aisles.withColumns({"length_along_m": length, "width_across_m": axis.width_cells * resolution, "yaw": axis.yaw})
 
 
-def offsets_across(aisles: DataFrame, footprint: Footprint, resolution: float, offset_step_m: float = 0.05) -> DataFrame:
+def offsets_across(aisles: DataFrame, footprint: Footprint, resolution: float, offset_step_m: float = OFFSET_STEP_M) -> DataFrame:
     """aisles with ``offsets``: the ascending lateral offsets that keep the footprint inside the aisle's width.
 
     Multiples of the step, zero and both bounds, without near-equal ones; none if the footprint is too wide.
@@ -102,24 +113,17 @@ def evaluate(poses: DataFrame, keys: list[str], footprint: Footprint, on: Map, c
     footprint without any cell inside as out of bounds by itself; otherwise both give clearance 0 and out of bounds.
     """
     body = placed(list(footprint), F.col("x"), F.col("y"), F.col("yaw"), on.resolution)
-    marked = poses.withColumn("_body", body).withColumn("_leaves", leaves_grid(F.col("_body"), F.lit(on.width), F.lit(on.height)))
-    cells = marked.select(*keys, "x", "y", "yaw", "_leaves", F.explode_outer(covered_cells(F.col("_body"))).alias("_c"))
-    grid = on.grid.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "base", "is_candidate", "dist_m")
-    met = cells.join(grid, (F.col("_c.x") == F.col("_x")) & (F.col("_c.y") == F.col("_y")), "left")
-    seen = met.groupBy(*keys, "x", "y", "yaw", "_leaves").agg(
-        F.count("base").alias("_cells"),
-        F.coalesce(F.bool_or(F.col("base") == OCCUPIED), F.lit(False)).alias("collision"),
-        F.coalesce(F.bool_or(F.col("base") == UNKNOWN), F.lit(False)).alias("unknown"),
-        F.coalesce(F.bool_or("is_candidate"), F.lit(False)).alias("candidate"),
-        F.min("dist_m").alias("_near"),
-    )
-    outside = F.col("_leaves") if clip_outside else F.col("_leaves") | (F.col("_cells") == 0)
-    near = F.when(F.col("_cells") == 0, F.lit(0.0)).otherwise(F.col("_near"))  # null if nothing on the map blocks
+    marked = poses.select(*keys, "x", "y", "yaw").withColumn("_body", body)
+    marked = marked.withColumn("_leaves", leaves_grid(F.col("_body"), F.lit(on.width), F.lit(on.height)))
+    seen = overlap(marked, "_body", on.grid, span_m(footprint) / on.resolution)
+    seen = seen.withColumns({"collision": F.col("occupied") > 0, "unknown": F.col("unknown") > 0, "candidate": F.col("candidates") > 0})
+    outside = F.col("_leaves") if clip_outside else F.col("_leaves") | (F.col("cells") == 0)
+    near = F.when(F.col("cells") == 0, F.lit(0.0)).otherwise(F.col("near_m"))  # null if nothing on the map blocks
     seen = seen.withColumns({"out_of_bounds": outside, "clearance_m": near if clip_outside else F.when(outside, F.lit(0.0)).otherwise(near)})
     stops = F.when(F.col("out_of_bounds"), "out_of_bounds").when(F.col("collision"), "occupied")
     if not on.allow_unknown:
         stops = stops.when(F.col("unknown"), "unknown")
-    return seen.withColumn("reason", stops).withColumn("blocking", F.col("reason").isNotNull()).drop("_cells", "_near", "_leaves")
+    return seen.withColumn("reason", stops).withColumn("blocking", F.col("reason").isNotNull()).drop("_leaves", *RESULTS.keys() - {"unknown"})
 
 
 def _pose() -> Column:
@@ -160,7 +164,7 @@ def _routes(frames: DataFrame, keys: list[str], footprint: Footprint, on: Map, s
     return out.fillna(0, list(COUNTS)).fillna(False, ["passed"])
 
 
-def validate_footprint(aisles: DataFrame, footprint: Footprint, on: Map, sample_spacing_m: float = 0.10) -> DataFrame:
+def validate_footprint(aisles: DataFrame, footprint: Footprint, on: Map, sample_spacing_m: float = SAMPLE_SPACING_M) -> DataFrame:
     """Centreline check: one row per aisle, in ``input_ord``."""
     points = check(footprint, sample_spacing_m=sample_spacing_m)
     frames = along(aisles, on.resolution)
@@ -172,7 +176,7 @@ def validate_footprint(aisles: DataFrame, footprint: Footprint, on: Map, sample_
     )
 
 
-def offset_routes(aisles: DataFrame, footprint: Footprint, on: Map, sample_spacing_m: float = 0.10, offset_step_m: float = 0.05) -> DataFrame:
+def offset_routes(aisles: DataFrame, footprint: Footprint, on: Map, sample_spacing_m: float = SAMPLE_SPACING_M, offset_step_m: float = OFFSET_STEP_M) -> DataFrame:
     """One row per aisle and constant lateral offset: the route's metrics."""
     points = check(footprint, sample_spacing_m=sample_spacing_m)
     return _offset_routes(offsets_across(aisles, points, on.resolution, offset_step_m), points, on, sample_spacing_m)
@@ -183,7 +187,7 @@ def _offset_routes(every: DataFrame, points: Footprint, on: Map, sample_spacing_
     return _routes(frames, ["aisle_id", "input_ord", "offset_m"], points, on, sample_spacing_m, F.col("offset_m"), False)
 
 
-def search_offsets(aisles: DataFrame, footprint: Footprint, on: Map, sample_spacing_m: float = 0.10, offset_step_m: float = 0.05) -> DataFrame:
+def search_offsets(aisles: DataFrame, footprint: Footprint, on: Map, sample_spacing_m: float = SAMPLE_SPACING_M, offset_step_m: float = OFFSET_STEP_M) -> DataFrame:
     """One row per aisle: the best passing offset, else the best attempt, and how the centreline fares."""
     points = check(footprint, sample_spacing_m=sample_spacing_m)
     every = materialise(offsets_across(aisles, points, on.resolution, offset_step_m), "offsets")
@@ -208,8 +212,10 @@ def search_offsets(aisles: DataFrame, footprint: Footprint, on: Map, sample_spac
     out = every.join(chosen, ["aisle_id", "input_ord"], "left").fillna(0, ["tested_offset_count", "feasible_offset_count"])
     centre = F.coalesce(F.col("centre.passed"), F.lit(False))
     best = F.col("feasible_offset_count") > 0
-    taken = {f"best_{n}": F.when(best, F.col(f"best.{c}")) for n, c in (("offset_m", "offset_m"), ("min_blocked_clearance_m", "min_blocked_clearance_m"), ("clearance_p10_m", "clearance_p10_m"), ("candidate_overlap_pose_count", "candidate_overlap_pose_count"))}
-    tried = {f"best_attempt_{n}": F.col(f"attempt.{c}") for n, c in (("offset_m", "offset_m"), ("blocking_pose_count", "blocking_pose_count"), ("collision_pose_count", "collision_pose_count"), ("unknown_pose_count", "unknown_overlap_pose_count"))}
+    kept = ("offset_m", "min_blocked_clearance_m", "clearance_p10_m", "candidate_overlap_pose_count")
+    taken = {f"best_{c}": F.when(best, F.col(f"best.{c}")) for c in kept}
+    tried = {f"best_attempt_{c}": F.col(f"attempt.{c}") for c in ("offset_m", "blocking_pose_count", "collision_pose_count")}
+    tried["best_attempt_unknown_pose_count"] = F.col("attempt.unknown_overlap_pose_count")
     return out.select(
         "input_ord", "aisle_id", "label", F.coalesce("width_m", "width_across_m").alias("width_m"), F.coalesce("length_m", "length_along_m").alias("length_m"),
         F.col("yaw").alias("heading_rad"), "offset_min_m", "offset_max_m", "tested_offset_count", "feasible_offset_count",
@@ -226,8 +232,9 @@ def summary(results: DataFrame, **flags: str) -> DataFrame:
         return F.transform(F.array_sort(F.collect_list(F.when(condition, F.struct("input_ord", "label")))), lambda s: s["label"])
 
     passed = F.col("passed")
-    extra = [c for name, column in flags.items() for c in (F.count_if(F.col(column)).alias(f"{name}_count"), listed(F.col(column)).alias(f"{name}_aisles"))]
-    return results.agg(F.count_if(passed).alias("pass_count"), F.count_if(~passed).alias("fail_count"), F.count(F.lit(1)).alias("total_aisles"), listed(~passed).alias("failed_aisles"), *extra)
+    extra = [F.count_if(F.col(c)).alias(f"{name}_count") for name, c in flags.items()] + [listed(F.col(c)).alias(f"{name}_aisles") for name, c in flags.items()]
+    counts = [F.count_if(passed).alias("pass_count"), F.count_if(~passed).alias("fail_count"), F.count(F.lit(1)).alias("total_aisles")]
+    return results.agg(*counts, listed(~passed).alias("failed_aisles"), *extra)
 
 
 def route_segment(aisles: DataFrame, footprint: Footprint, resolution: float, offset: Column) -> DataFrame:
