@@ -13,36 +13,52 @@ BINS = 4096
 
 
 def exact_percentile(df: DataFrame, column: str, fraction: float, small: int = SMALL) -> float | None:
-    """The percentile by linear interpolation of neighbours, as an exact number; null values do not count.
+    """The percentile by linear interpolation of neighbours, as an exact number.
 
-    Beyond ``small`` values each pass counts them in equal bins (at most ``BINS`` counts reach the driver) and goes on
-    with the bin that holds the rank, until the built-in aggregate can finish; memory stays bounded at any size.
+    Null and NaN do not count; infinite values rank at the ends. Beyond ``small`` values each pass counts them in equal
+    bins (at most ``BINS`` counts reach the driver) and goes on with the bin that holds both neighbours, until the
+    built-in aggregate can finish; memory stays bounded at any size.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    infinite = F.col("v").isin(float("inf"), float("-inf"))
+    finite = F.when(~infinite, F.col("v"))
+    n, least, most, low, high = values.agg(F.count("v"), F.count_if(infinite & (F.col("v") < 0)), F.count_if(infinite & (F.col("v") > 0)), F.min(finite), F.max(finite)).first()
     if not n:
         return None
-    if n <= small:
-        return values.agg(F.percentile("v", fraction)).first()[0]
     at = fraction * (n - 1)
-    ranks = (int(at), min(int(at) + 1, n - 1))
-    a, b = (_by_rank(values, r, n, low, high, small) for r in ranks)
-    return a + (b - a) * (at - ranks[0])
+    first, second = int(at), min(int(at) + 1, n - 1)
+    inner = n - least - most
+    a, b = (float("-inf") if r < least else float("inf") if r >= least + inner else None for r in (first, second))
+    if a is None or b is None:
+        x, y = _neighbours(values.where(~infinite), max(first - least, 0), min(second - least, inner - 1), inner, low, high, small)
+        a, b = x if a is None else a, y if b is None else b
+    return a if a == b or at == first else a + (b - a) * (at - first)
 
 
-def _by_rank(values: DataFrame, rank: int, n: int, low: float, high: float, small: int) -> float:
+def _neighbours(values: DataFrame, first: int, second: int, n: int, low: float, high: float, small: int) -> tuple[float, float]:
+    """The values of two ranks, equal or next to each other, among ``n`` finite values from ``low`` to ``high``.
+
+    A pass always leaves something out, as the least and the most fall in different bins.
+    """
     while n > small and low < high:
-        width = (high - low) / BINS
-        index = F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
-        bins = values.groupBy(index.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        for k in sorted(bins.collect()):
-            if rank < k["n"]:
-                values, n, low, high = values.where(F.col("v").between(k["low"], k["high"])), k["n"], k["low"], k["high"]
-                break
-            rank -= k["n"]
+        width = high / BINS - low / BINS
+        if not width:  # values too close for bins
+            break
+        bins = values.groupBy(F.least(F.floor((F.col("v") - low) / width), F.lit(BINS - 1)).alias("k"))
+        bins = sorted(bins.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect())
+        k = 0
+        while first >= bins[k]["n"]:
+            first, second = first - bins[k]["n"], second - bins[k]["n"]
+            k += 1
+        if second >= bins[k]["n"]:
+            return bins[k]["high"], bins[k + 1]["low"]
+        n, low, high = bins[k]["n"], bins[k]["low"], bins[k]["high"]
+        values = values.where(F.col("v").between(low, high))
     if low == high:
-        return low
-    return values.agg(F.percentile("v", rank / (n - 1))).first()[0]
+        return low, low
+    # the least value whose share of values up to it reaches half a value beyond the rank is that rank's, exactly
+    ranks = [F.expr(f"percentile_disc({(r + 0.5) / n!r}) within group (order by v)") for r in (first, second)]
+    return tuple(values.agg(*ranks).first())
 
 
 def _level(points: DataFrame, fraction: float) -> Column:
