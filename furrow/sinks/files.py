@@ -1,12 +1,14 @@
 """Writers for tools outside Spark: map images, bundles and reports under exact names.
 
-These are thin exports of one map or one report, collected to the driver; results that grow belong in Parquet.
+These are thin exports of one map or one report, collected to the driver after a check of its size; results that grow
+belong in Parquet. Paths are local, or name a store by their scheme.
 """
 
 from __future__ import annotations
 
 import csv
 import html
+import io
 import json
 from pathlib import Path
 
@@ -16,23 +18,53 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from furrow.operators import clearance, layers, sweep
+from furrow.storage import write_bytes, writing
 
+#: A larger grid is not collected.
+MOST_CELLS = 1 << 28
 
-def to_array(cells: DataFrame, column: str, fill: float, dtype: type) -> np.ndarray:
-    """One grid as an array indexed [y, x]; absent and null cells hold ``fill``."""
-    table = cells.select("x", "y", F.col(column).cast("double").alias("v")).toPandas()
-    out = np.full((int(table["y"].max()) + 1, int(table["x"].max()) + 1) if len(table) else (0, 0), fill, dtype)
-    some = table.dropna()
-    out[some["y"].to_numpy(), some["x"].to_numpy()] = some["v"].to_numpy()
+
+def to_array(cells: DataFrame, column: str, fill: float, dtype: type, most: int = MOST_CELLS) -> np.ndarray:
+    """One grid as an array indexed [y, x]; absent and null cells hold ``fill``. More than ``most`` cells are an error."""
+    width, height = (0 if n is None else n + 1 for n in cells.agg(F.max("x"), F.max("y")).first())
+    if width * height > most:
+        raise ValueError(f"a grid of {width} x {height} cells is too large for one array")
+    out = np.full((height, width), fill, dtype)
+    table = cells.select("x", "y", F.col(column).cast("double").alias("v")).where("v is not null").toPandas()
+    out[table["y"].to_numpy(), table["x"].to_numpy()] = table["v"].to_numpy()
     return out
 
 
 def write_pgm(grid: np.ndarray, path: str | Path) -> None:
     """A binary gray image; the grid's lowest row comes last."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
     height, width = grid.shape
-    path.write_bytes(b"P5\n%d %d\n255\n" % (width, height) + np.ascontiguousarray(grid[::-1], np.uint8).tobytes())
+    write_bytes(path, b"P5\n%d %d\n255\n" % (width, height) + np.ascontiguousarray(grid[::-1], np.uint8).tobytes())
+
+
+def write_npy(grid: np.ndarray, path: str | Path) -> None:
+    out = io.BytesIO()
+    np.save(out, grid)
+    write_bytes(path, out.getvalue())
+
+
+def write_pcd(points: DataFrame, path: str | Path) -> int:
+    """A binary point cloud of x, y, z, a batch at a time; returns how many points."""
+    count = points.count()
+    head = f"VERSION 0.7\nFIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nCOUNT 1 1 1\nWIDTH {count}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {count}\nDATA binary\n"
+    with writing(path) as write:
+        write(head.encode())
+        held: list[tuple] = []
+        for row in points.select(*[F.col(c).cast("float") for c in "xyz"]).toLocalIterator(prefetchPartitions=True):
+            held.append(row)
+            if len(held) == 1 << 17:
+                write(np.array(held, "<f4").tobytes())
+                held.clear()
+        write(np.array(held, "<f4").tobytes())
+    return count
+
+
+def write_text(text: str, path: str | Path) -> None:
+    write_bytes(path, text.encode())
 
 
 def _plain(value):
@@ -50,15 +82,15 @@ def records(results: DataFrame) -> list[dict]:
 
 
 def write_json(report: dict, path: str | Path) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(report, indent=2, sort_keys=True) + "\n", encoding="utf-8")
+    write_text(json.dumps(report, indent=2, sort_keys=True) + "\n", path)
 
 
 def write_csv(rows: list[dict], columns: tuple[str, ...], path: str | Path) -> None:
-    with Path(path).open("w", newline="", encoding="utf-8") as out:
-        writer = csv.DictWriter(out, columns, extrasaction="ignore")
-        writer.writeheader()
-        writer.writerows(rows)
+    out = io.StringIO(newline="")
+    writer = csv.DictWriter(out, columns, extrasaction="ignore")
+    writer.writeheader()
+    writer.writerows(rows)
+    write_text(out.getvalue(), path)
 
 
 #: The columns of the flat reports.
@@ -78,15 +110,17 @@ SMOOTH_COLUMNS = (
 )
 
 
-def write_navigation_bundle(semantic: DataFrame, aisles: DataFrame, folder: str | Path, resolution: float = 0.05, origin: tuple[float, float, float] = (0.0, 0.0, 0.0), radii: tuple[float, ...] = clearance.RADII) -> dict:
+def write_navigation_bundle(
+    semantic: DataFrame, aisles: DataFrame, folder: str | Path, resolution: float = 0.05, origin: tuple[float, float, float] = (0.0, 0.0, 0.0),
+    radii: tuple[float, ...] = clearance.RADII,
+) -> dict:
     """Image, YAML, two masks and validation.json; returns the validation."""
-    folder = Path(folder)
-    folder.mkdir(parents=True, exist_ok=True)
     cells = layers.navigation_layers(semantic, aisles).persist()
     metadata = layers.map_metadata("navigation_base_map.pgm", resolution, origin)
     connectivity = clearance.clearance_connectivity(cells, aisles, resolution, radii).persist()
     sizes = {r["aisle_id"]: r for r in aisles.select("aisle_id", "width_m", "length_m").collect()}
-    tests = {r["key"]: {k: r[k] for k in ("radius_m", "diameter_m", "pass_count", "total_aisles")} for r in clearance.clearance_summary(connectivity).collect()}
+    fields = ("radius_m", "diameter_m", "pass_count", "total_aisles")
+    tests = {r["key"]: {k: r[k] for k in fields} for r in clearance.clearance_summary(connectivity).collect()}
     lanes = [
         {"aisle_id": r["aisle_id"], "label": r["label"], "clearance_pass": r["clearance_pass"], **{k: sizes[r["aisle_id"]][k] or 0.0 for k in ("width_m", "length_m")}}
         for r in clearance.clearance_by_aisle(connectivity).orderBy("aisle_id").collect()
@@ -101,11 +135,11 @@ def write_navigation_bundle(semantic: DataFrame, aisles: DataFrame, folder: str
         "aisles": lanes,
         "map_server_yaml_valid": layers.metadata_valid(metadata),
     }
-    write_pgm(to_array(cells, "base", layers.UNKNOWN, np.uint8), folder / "navigation_base_map.pgm")
-    (folder / "navigation_base_map.yaml").write_text(yaml.safe_dump(metadata, sort_keys=False), encoding="utf-8")
+    write_pgm(to_array(cells, "base", layers.UNKNOWN, np.uint8), f"{folder}/navigation_base_map.pgm")
+    write_yaml(metadata, f"{folder}/navigation_base_map.yaml")
     for name, column in (("candidate_mask", "is_candidate"), ("static_obstacle_mask", "is_hard")):
-        np.save(folder / f"{name}.npy", to_array(cells, column, 0, np.uint8))
-    write_json(validation, folder / "validation.json")
+        write_npy(to_array(cells, column, 0, np.uint8), f"{folder}/{name}.npy")
+    write_json(validation, f"{folder}/validation.json")
     cells.unpersist()
     connectivity.unpersist()
     return validation
@@ -116,27 +150,35 @@ def write_report(results: DataFrame, name: str, columns: tuple[str, ...], folder
     results = results.persist()
     rows = records(results)
     report = {"summary": sweep.summary(results, **flags).first().asDict(), "aisles": rows, **(more or {})}
-    write_json(report, Path(folder) / f"{name}.json")
-    write_csv(rows, columns, Path(folder) / f"{name}.csv")
+    write_json(report, f"{folder}/{name}.json")
+    write_csv(rows, columns, f"{folder}/{name}.csv")
     results.unpersist()
     return report
 
 
 def write_centreline(cells: DataFrame, path: str | Path) -> int:
-    """x,y of every cell, row by row; returns how many."""
-    rows = [r.asDict() for r in cells.select("x", "y").orderBy("y", "x").collect()]
-    write_csv(rows, ("x", "y"), path)
-    return len(rows)
+    """x,y of every cell, row by row, a partition of the sorted cells at a time; returns how many."""
+    count = 0
+    with writing(path) as write:
+        write(b"x,y\r\n")
+        held: list[str] = []
+        for r in cells.select("x", "y").orderBy("y", "x").toLocalIterator():
+            held.append(f"{r['x']},{r['y']}\r\n")
+            count += 1
+            if len(held) == 10_000:
+                write("".join(held).encode())
+                held.clear()
+        write("".join(held).encode())
+    return count
 
 
 def write_yaml(values: dict, path: str | Path) -> None:
-    Path(path).write_text(yaml.safe_dump(values, sort_keys=False), encoding="utf-8")
+    write_text(yaml.safe_dump(values, sort_keys=False), path)
 
 
 def write_html(folder: str | Path, images: list[str], title: str = "Report") -> Path:
     """A page that shows the images."""
     body = "".join(f'<section><h2>{html.escape(Path(i).stem)}</h2><img src="{html.escape(i)}" alt=""></section>' for i in images)
-    path = Path(folder) / "report.html"
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}\n", encoding="utf-8")
-    return path
+    page = f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{body}\n"
+    write_text(page, f"{folder}/report.html")
+    return Path(folder) / "report.html"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.geometry import Axis
@@ -44,6 +44,16 @@ def offset_overlay(results: DataFrame, aisles: DataFrame, footprint: Footprint,
     return found[0].unionByName(found[1])
 
 
+def within(drawn: DataFrame, window: dict[str, int], height: int) -> DataFrame:
+    """drawn with ``shown``: whether a line, in image cells, has an end in the window of map cells."""
+    top, bottom = height - 1 - window["y1"], height - 1 - window["y0"]
+
+    def inside(k: int) -> Column:
+        return F.col(f"x{k}").between(window["x0"], window["x1"]) & F.col(f"y{k}").between(top, bottom)
+
+    return drawn.withColumn("shown", inside(0) | inside(1))
+
+
 def smooth_overlay(results: DataFrame, height: int) -> DataFrame:
     """(label, kind, k, x, y) in image cells: the points of every smooth route in order."""
     kind = F.when(F.col("route_recovered_from_b1"), "recovered").otherwise("route")

@@ -1,7 +1,8 @@
-"""Readers of small structured files: clouds, arrays, images, aisles, footprints, maps and earlier results.
+"""Readers of structured files: point clouds of any size, arrays, images, aisles, footprints, maps and earlier results.
 
-Files are read by Spark (``binaryFile`` or whole text), so any store that Spark reaches will do. A file is parsed in
-one task and must be below 2 GB, Spark's limit for one value; larger clouds belong in Parquet as (x, y, z).
+Point clouds in ascii or binary are read by ranges, many tasks to a file; a compressed one is a single stream and so
+one task's work. All other files are small: each is parsed in one task and must be below 2 GB, Spark's limit for one
+value. Files may lie in any store that Spark reaches, ranges of binary clouds in those that Arrow reaches too.
 """
 
 from __future__ import annotations
@@ -9,15 +10,23 @@ from __future__ import annotations
 import io
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import yaml
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.storage import files_of, read_start
+
 #: Rows that a parser hands over at a time.
 BATCH = 200_000
+#: Bytes of a binary cloud to a task, and those that hold any cloud's header.
+RANGE, HEAD = 1 << 25, 1 << 16
 
 
 def _parsed(spark: SparkSession, path: str, schema: str, parse: Callable[[bytes], Iterator[pd.DataFrame]]) -> DataFrame:
@@ -45,8 +54,8 @@ def unpack_lzf(data: bytes, size: int) -> bytes:
             at += 1
         back = ((head & 31) << 8) + data[at] + 1
         at += 1
-        for _ in range(length + 2):
-            out.append(out[-back])
+        piece = out[-back:]  # a copy may overlap what it writes
+        out += (piece * (-(-(length + 2) // back)))[: length + 2]
     if len(out) != size:
         raise ValueError("compressed points are damaged")
     return bytes(out)
@@ -55,54 +64,126 @@ def unpack_lzf(data: bytes, size: int) -> bytes:
 _KINDS = {"F": "f", "I": "i", "U": "u"}
 
 
+@dataclass(frozen=True)
+class CloudHeader:
+    names: list[str]
+    sizes: list[int]
+    kinds: list[str]
+    counts: list[int]
+    points: int
+    how: str
+    #: where the points begin
+    begin: int
+
+    @classmethod
+    def of(cls, content: bytes) -> CloudHeader:
+        found: dict[str, list[str]] = {}
+        at = 0
+        while "DATA" not in found:
+            end = content.index(b"\n", at)
+            words = content[at:end].decode("ascii").split()
+            at = end + 1
+            if words and not words[0].startswith("#"):
+                found[words[0].upper()] = words[1:]
+        names = found["FIELDS"]
+        counts = [int(c) for c in found.get("COUNT", ["1"] * len(names))]
+        header = cls(names, [int(s) for s in found["SIZE"]], found["TYPE"], counts, int(found["POINTS"][0]), found["DATA"][0], at)
+        if not {"x", "y", "z"} <= set(names):
+            raise ValueError("a point cloud needs the fields x, y and z")
+        if not header.points:
+            raise ValueError("the point cloud is empty")
+        if header.how not in ("ascii", "binary", "binary_compressed"):
+            raise ValueError(f"unknown point data {header.how!r}")
+        return header
+
+    @property
+    def record(self) -> np.dtype:
+        fields = zip(self.names, self.kinds, self.sizes, self.counts, strict=True)
+        return np.dtype([(f"{f}{k}", f"<{_KINDS[t]}{s}", (c,)) for k, (f, t, s, c) in enumerate(fields)])
+
+    def place(self, name: str) -> int:
+        """The number of a field's first value in a row of text."""
+        return sum(self.counts[: self.names.index(name)])
+
+    def points_of(self, raw: bytes, at: int, n: int) -> np.ndarray:
+        """The coordinates of ``n`` binary records from a place on."""
+        rows = np.frombuffer(raw, self.record, n, at)
+        return np.stack([rows[f"{a}{self.names.index(a)}"][:, 0] for a in "xyz"], axis=1).astype(np.float32)
+
+
 def parse_pcd(content: bytes) -> np.ndarray:
     """The N x 3 float32 coordinates of a point cloud file (ascii, binary or binary_compressed)."""
-    header: dict[str, list[str]] = {}
-    at = 0
-    while "DATA" not in header:
-        end = content.index(b"\n", at)
-        words = content[at:end].decode("ascii").split()
-        at = end + 1
-        if words and not words[0].startswith("#"):
-            header[words[0].upper()] = words[1:]
-    names, sizes, kinds = header["FIELDS"], [int(s) for s in header["SIZE"]], header["TYPE"]
-    counts = [int(c) for c in header.get("COUNT", ["1"] * len(names))]
-    n = int(header["POINTS"][0])
-    if not {"x", "y", "z"} <= set(names):
-        raise ValueError("a point cloud needs the fields x, y and z")
-    dtype = np.dtype([(f"{f}{k}", f"<{_KINDS[t]}{s}", (c,)) for k, (f, t, s, c) in enumerate(zip(names, kinds, sizes, counts, strict=True))])
-    place = {f: f"{f}{k}" for k, f in enumerate(names)}
-    how = header["DATA"][0]
-    if how == "ascii":
-        rows = np.loadtxt(io.BytesIO(content[at:]), ndmin=2, max_rows=n) if n else np.zeros((0, sum(counts)))
-        first = dict(zip(names, np.cumsum([0, *counts[:-1]]), strict=True))
-        points = np.stack([rows[:, first[a]] for a in "xyz"], axis=1)
-    elif how == "binary":
-        rows = np.frombuffer(content, dtype, n, at)
-        points = np.stack([rows[place[a]][:, 0] for a in "xyz"], axis=1)
-    elif how == "binary_compressed":
-        packed, size = np.frombuffer(content, "<u4", 2, at)
-        raw, columns, start = unpack_lzf(content[at + 8 : at + 8 + int(packed)], int(size)), {}, 0
-        for f, t, s, c in zip(names, kinds, sizes, counts, strict=True):  # one field after another
-            columns[f] = np.frombuffer(raw, f"<{_KINDS[t]}{s}", n * c, start).reshape(n, c)[:, 0]
-            start += n * c * s
-        points = np.stack([columns[a] for a in "xyz"], axis=1)
-    else:
-        raise ValueError(f"unknown point data {how!r}")
-    if not len(points):
-        raise ValueError("the point cloud is empty")
-    return points.astype(np.float32)
-
-
-def read_pcd(spark: SparkSession, path: str) -> DataFrame:
-    """(x, y, z) as single-precision numbers; an empty or misshapen cloud fails."""
-
-    def parse(content: bytes) -> Iterator[pd.DataFrame]:
+    head = CloudHeader.of(content)
+    n, at = head.points, head.begin
+    if head.how == "ascii":
+        rows = np.loadtxt(io.BytesIO(content[at:]), ndmin=2, max_rows=n)
+        return np.stack([rows[:, head.place(a)] for a in "xyz"], axis=1).astype(np.float32)
+    if head.how == "binary":
+        return head.points_of(content, at, n)
+    packed, size = np.frombuffer(content, "<u4", 2, at)
+    raw, columns, start = unpack_lzf(content[at + 8 : at + 8 + int(packed)], int(size)), {}, 0
+    for f, t, s, c in zip(head.names, head.kinds, head.sizes, head.counts, strict=True):  # one field after another
+        columns[f] = np.frombuffer(raw, f"<{_KINDS[t]}{s}", n * c, start).reshape(n, c)[:, 0]
+        start += n * c * s
+    return np.stack([columns[a] for a in "xyz"], axis=1).astype(np.float32)
+
+
+_POINT = "x float, y float, z float"
+_HEADER_WORDS = "VERSION|FIELDS|SIZE|TYPE|COUNT|WIDTH|HEIGHT|VIEWPOINT|POINTS|DATA"
+
+
+def _text_points(spark: SparkSession, uri: str, head: CloudHeader) -> DataFrame:
+    lines = spark.read.text(uri).select(F.trim("value").alias("line"))
+    lines = lines.where(~F.col("line").rlike(rf"^(#|(?i:{_HEADER_WORDS})\b)") & (F.col("line") != ""))
+    words = F.split("line", r"\s+")
+    bad = F.raise_error(F.concat(F.lit("a point of other than the cloud's fields: "), F.col("line"))).cast("array<string>")
+    words = F.when(F.size(words) == sum(head.counts), words).otherwise(bad)
+    return lines.select(words.alias("w")).select(*[F.col("w")[head.place(a)].cast("float").alias(a) for a in "xyz"])
+
+
+def _ranged_points(spark: SparkSession, uri: str, head: CloudHeader, bytes_each: int) -> DataFrame:
+    width = head.record.itemsize
+    each = max(1, bytes_each // width)
+    tasks = -(-head.points // each)
+    store = uri if "://" in uri else uri.replace(":/", ":///", 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = arrow_fs.FileSystem.from_uri(store)
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                with files.open_input_file(path) as source:
+                    for a in range(k * each, min((k + 1) * each, head.points), BATCH):
+                        n = min(BATCH, (k + 1) * each - a, head.points - a)
+                        source.seek(head.begin + a * width)
+                        points = head.points_of(source.read(n * width), 0, n)
+                        yield pa.RecordBatch.from_arrays([pa.array(points[:, c]) for c in range(3)], names=list("xyz"))
+
+    return spark.range(0, tasks, 1, tasks).mapInArrow(run, _POINT)
+
+
+def read_pcd(spark: SparkSession, path: str, bytes_each: int = RANGE) -> DataFrame:
+    """(x, y, z) as single-precision numbers, of one file, a folder or a pattern; an empty or misshapen cloud fails.
+
+    Binary clouds are read by ranges of about ``bytes_each`` bytes, a task each; ascii ones as Spark splits text.
+    """
+
+    def whole(content: bytes) -> Iterator[pd.DataFrame]:
         points = parse_pcd(content)
         for a in range(0, len(points), BATCH):
             yield pd.DataFrame(points[a : a + BATCH], columns=["x", "y", "z"])
 
-    return _parsed(spark, path, "x float, y float, z float", parse)
+    found = []
+    for uri, size in files_of(path):
+        head = CloudHeader.of(read_start(uri, HEAD))
+        if head.how == "binary" and size < head.begin + head.points * head.record.itemsize:
+            raise ValueError(f"{uri} is shorter than its {head.points} points")
+        if head.how == "ascii":
+            found.append(_text_points(spark, uri, head))
+        elif head.how == "binary":
+            found.append(_ranged_points(spark, uri, head, bytes_each))
+        else:
+            found.append(_parsed(spark, uri, _POINT, whole))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _cells(grid: np.ndarray, column: str) -> Iterator[pd.DataFrame]:

@@ -1,9 +1,12 @@
-"""Shared storage for results that iterations reread."""
+"""Shared storage for results that iterations reread, and small files in any store that Spark reaches."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +42,52 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{new_folder(df.sparkSession, name)}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _reach(path: str | Path) -> tuple:
+    """(file system, path) of Hadoop's, for any store that Spark reaches."""
+    context = SparkSession.active().sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(str(path))
+    return place.getFileSystem(context._jsc.hadoopConfiguration()), place
+
+
+def files_of(path: str | Path) -> list[tuple[str, int]]:
+    """(uri, size) of a file, of a folder's files, or of those that a pattern matches; none is an error."""
+    store, place = _reach(path)
+    found = [f for s in store.globStatus(place) or [] for f in (store.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    files = [(f.getPath().toUri().toString(), f.getLen()) for f in found if f.isFile() and f.getPath().getName()[0] not in "._"]
+    if not files:
+        raise FileNotFoundError(str(path))
+    return sorted(files)
+
+
+def read_start(uri: str, size: int) -> bytes:
+    """The first ``size`` bytes of a file, or all that it has."""
+    store, place = _reach(uri)
+    stream = store.open(place)
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
+@contextmanager
+def writing(path: str | Path) -> Iterator[Callable[[bytes], None]]:
+    """A function that appends to a new file, made with its folders: local, or where the path's scheme says."""
+    if ":" not in str(path):
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        with Path(path).open("wb") as out:
+            yield lambda data: out.write(data)
+        return
+    store, place = _reach(path)
+    out = store.create(place, True)
+    try:
+        yield lambda data: out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def write_bytes(path: str | Path, data: bytes) -> None:
+    with writing(path) as write:
+        for a in range(0, len(data), 1 << 22):
+            write(data[a : a + (1 << 22)])
