@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from furrow.operators.sweep import OFFSET_STEP_M as STEP
+from furrow.operators.sweep import SAMPLE_SPACING_M as SPACING
 from furrow.plans import tables as t
-from furrow.plans.queries import RADII, SPACING, STEP
+from furrow.plans.queries import RADII
 
-_POINTS = f"pts as (select {', '.join(f'{e} as {n}' for n, e in t.POINTS.items())} from lineitem where {t.POINTS_WHERE})"
+_POINTS = f"pts as (select {', '.join(f'{e} as {n}' for n, e in t.POINTS.items())} from lineitem)"
 _RES = f"{t.POINT_RESOLUTION}::double"
 _CELLS = f"""{_POINTS}, o as (select min(x) x0, min(y) y0 from pts),
 binned as (select cast(floor((x - x0) / {_RES}) as int) x, cast(floor((y - y0) / {_RES}) as int) y, z from pts, o)"""
@@ -50,7 +52,7 @@ binned as (select cast(floor((x - x0) / {_RES}) as int) x, cast(floor((y - y0) /
 def _grid(label: str) -> str:
     return f"""semantic as (select {t.CELL["x"]} as x, {t.CELL["y"]} as y, {label} as label from orders),
 aisle as (select s_suppkey::int as aisle_id, 'A' || lpad(s_suppkey::varchar, 2, '0') as label, {t.AISLE_Y0} as y0, {t.AISLE_Y1} as y1 from supplier
-  where {t.AISLES_WHERE} and {t.AISLE_Y1} <= (select max(y) from semantic)),
+  where {t.AISLE_Y1} <= (select max(y) from semantic)),
 lay as (select *, case when is_hard then 0 when label = 1 or is_aisle then 254 else 205 end as base from (
   select s.x, s.y, s.label, s.label in (2, 4, 6) as is_hard, s.label in (3, 5) as is_candidate, s.label = 6 as is_pillar,
     exists (select 1 from aisle a where s.x between {t.AISLE_X0} and {t.AISLE_X1} and s.y between a.y0 and a.y1) as is_aisle from semantic s))"""
@@ -150,9 +152,9 @@ ORACLES: dict[str, str] = {
     "traversability": f"with {_CELLS}, {_relative(4)} select x, y, {_TRAV} as trav from rel",
     "traversability_counts": f"with {_CELLS}, {_relative(4)} select {_TRAV} as trav, count(*)::bigint as cells from rel group by 1",
     "ground_traversability_counts": _ground_counts(),
-    "row_direction": f"with {_MASK}, a as (select {_DIRECTION} as angle_rad from m where y < 40) select round(angle_rad, 6) as angle_rad, round(cos(angle_rad), 6) as dx, round(sin(angle_rad), 6) as dy from a",
+    "row_direction": f"with {_MASK}, a as (select {_DIRECTION} as angle_rad from m) select round(angle_rad, 6) as angle_rad, round(cos(angle_rad), 6) as dx, round(sin(angle_rad), 6) as dy from a",
     "connected_regions": f"with recursive {_MASK}, {_regions('true', 5)} select x, y, component, size from kept",
-    "corridor_cells": f"""with recursive {_MASK}, {_regions('y < 40', 8)}, a as (select {_DIRECTION} as a from m where y < 40), b as (select {_DIRECTION} as b from kept)
+    "corridor_cells": f"""with recursive {_MASK}, {_regions('true', 8)}, a as (select {_DIRECTION} as a from m), b as (select {_DIRECTION} as b from kept)
 select x, y from kept, a, b where abs(cos(b) * cos(a) + sin(b) * sin(a)) >= 0.7::double""",
     "navigation_layers": f"with {_grid(t.LABEL)} select x, y, base, is_candidate, is_aisle, is_hard from lay",
     "layer_counts": f"""with {_grid(t.LABEL)}, c as (select count_if(is_candidate)::bigint as candidate_cell_count, count_if(is_hard)::bigint as hard_obstacle_cell_count,

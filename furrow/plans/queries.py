@@ -107,56 +107,55 @@ def corridor_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corridor.skeletonise(corridor.extract_corridor(cells, corridor.row_direction(cells), 8)).select("x", "y")
 
 
-def _layers(spark: SparkSession, sf_dir: str, label: str = t.LABEL) -> DataFrame:
-    return layers.navigation_layers(t.labels(spark, sf_dir, label), t.aisles(spark, sf_dir))
+def layers_of(spark: SparkSession, sf_dir: str, label: str = t.LABEL, lanes: DataFrame | None = None) -> DataFrame:
+    return layers.navigation_layers(t.labels(spark, sf_dir, label), t.aisles(spark, sf_dir) if lanes is None else lanes)
 
 
 @query
 def navigation_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _layers(spark, sf_dir).select("x", "y", "base", "is_candidate", "is_aisle", "is_hard")
+    return layers_of(spark, sf_dir).select("x", "y", "base", "is_candidate", "is_aisle", "is_hard")
 
 
 @query
 def layer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layers.layer_counts(_layers(spark, sf_dir))
+    return layers.layer_counts(layers_of(spark, sf_dir))
 
 
 @query
 def gray_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a value that the map must not hold."""
-    cells = _layers(spark, sf_dir).withColumn("base", F.when((F.col("x") == 0) & (F.col("y") == 0), 127).otherwise(F.col("base")))
+    cells = layers_of(spark, sf_dir).withColumn("base", F.when((F.col("x") == 0) & (F.col("y") == 0), 127).otherwise(F.col("base")))
     found = layers.gray_semantics(cells)
     return found.select(*[F.array_join(c, ",").alias(c) for c in ("observed_gray_values", "unexpected_gray_values")], "gray_semantics_valid")
 
 
 @query
 def clearance_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _layers(spark, sf_dir).select("x", "y", (F.col("base") != layers.FREE).alias("blocked"))
-    return distance.distance_transform(cells)
+    cells = layers_of(spark, sf_dir).select("x", "y", (F.col("base") != layers.FREE).alias("blocked"))
+    return distance.distance_transform(cells).select("x", "y", "d2")
 
 
 #: In cells of the grid: one cell and a bit, and two.
 RADII = (0.1, 0.15, 0.2)
 
 
-def _connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clearance.clearance_connectivity(_layers(spark, sf_dir, t.SPARSE_LABEL), t.aisles(spark, sf_dir), t.GRID_RESOLUTION, RADII)
+def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clearance.clearance_connectivity(layers_of(spark, sf_dir, t.SPARSE_LABEL), t.aisles(spark, sf_dir), t.GRID_RESOLUTION, RADII)
 
 
 @query
 def clearance_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _connectivity(spark, sf_dir)
+    return connectivity(spark, sf_dir)
 
 
 @query
 def clearance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clearance.clearance_summary(_connectivity(spark, sf_dir))
+    return clearance.clearance_summary(connectivity(spark, sf_dir))
 
 
-@query
-def aisle_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _geometry(lanes: DataFrame) -> DataFrame:
     axis = Axis.of(F.col("polygon"))
-    found = sweep.route_segment(t.aisles(spark, sf_dir), t.FOOTPRINT, t.GRID_RESOLUTION, F.lit(0.05))
+    found = sweep.route_segment(lanes, t.FOOTPRINT, t.GRID_RESOLUTION, F.lit(0.05))
     probe, other = axis.probes(0.1)
     return found.select(
         "aisle_id", "label", rounded("length_m", F.col("length_along_m")), rounded("width_m", F.col("width_across_m")), rounded("yaw"),
@@ -165,24 +164,56 @@ def aisle_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: In the SQL alone, which is left as it is; the queries take the operators' defaults.
-SPACING, STEP = 0.5, 0.05
+@query
+def aisle_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _geometry(t.aisles(spark, sf_dir))
 
 
-def _map(spark: SparkSession, sf_dir: str) -> sweep.Map:
-    return sweep.Map.of(_layers(spark, sf_dir, t.SPARSE_LABEL), t.GRID_RESOLUTION)
+def map_of(spark: SparkSession, sf_dir: str, lanes: DataFrame | None = None, allow_unknown: bool = False) -> sweep.Map:
+    return sweep.Map.of(layers_of(spark, sf_dir, t.SPARSE_LABEL, lanes), t.GRID_RESOLUTION, allow_unknown)
 
 
-@query
-def footprint_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sweep.validate_footprint(t.aisles(spark, sf_dir), t.FOOTPRINT, _map(spark, sf_dir))
+def _validation(found: DataFrame) -> DataFrame:
     keep = ("aisle_id", "label", "pose_count", "passed", "collision_pose_count", "unknown_overlap_pose_count", "candidate_overlap_pose_count", "out_of_bounds_pose_count", "first_failure_reason")
     return found.select(*keep, rounded("min_blocked_clearance_m"), rounded("first_failure_x", F.col("first_failure_pose.x_cell")))
 
 
+@query
+def footprint_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _validation(sweep.validate_footprint(t.aisles(spark, sf_dir), t.FOOTPRINT, map_of(spark, sf_dir)))
+
+
+@query
+def footprint_validation_unknown_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _validation(sweep.validate_footprint(t.aisles(spark, sf_dir), t.FOOTPRINT, map_of(spark, sf_dir, allow_unknown=True)))
+
+
+@query
+def oblique_aisle_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.aisle_cells(t.oblique_aisles(spark, sf_dir))
+
+
+@query
+def oblique_aisle_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _geometry(t.oblique_aisles(spark, sf_dir))
+
+
+@query
+def oblique_footprint_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A footprint with a notch, turned with the aisles."""
+    lanes = t.oblique_aisles(spark, sf_dir)
+    return _validation(sweep.validate_footprint(lanes, t.NOTCHED, map_of(spark, sf_dir, lanes)))
+
+
+@query
+def oblique_offset_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lanes = t.oblique_aisles(spark, sf_dir)
+    return _offset_routes(sweep.offset_routes(lanes, t.FOOTPRINT, map_of(spark, sf_dir, lanes)))
+
+
 @query
 def footprint_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sweep.summary(sweep.validate_footprint(t.aisles(spark, sf_dir), t.FOOTPRINT, _map(spark, sf_dir)))
+    found = sweep.summary(sweep.validate_footprint(t.aisles(spark, sf_dir), t.FOOTPRINT, map_of(spark, sf_dir)))
     return found.withColumn("failed_aisles", F.array_join("failed_aisles", ","))
 
 
@@ -192,31 +223,53 @@ def offset_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("aisle_id", F.posexplode("offsets").alias("k", "offset_m")).select("aisle_id", "k", rounded("offset_m"))
 
 
-@query
-def offset_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sweep.offset_routes(t.aisles(spark, sf_dir), t.FOOTPRINT, _map(spark, sf_dir))
+def _offset_routes(found: DataFrame) -> DataFrame:
     keep = ("aisle_id", "passed", *sweep.COUNTS, "first_failure_reason")
     return found.select(*keep, rounded("offset_m"), *[rounded(c) for c in sweep.CLEARANCES])
 
 
+@query
+def offset_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _offset_routes(sweep.offset_routes(t.aisles(spark, sf_dir), t.FOOTPRINT, map_of(spark, sf_dir)))
+
+
 @query
 def offset_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sweep.search_offsets(t.aisles(spark, sf_dir), t.FOOTPRINT, _map(spark, sf_dir))
+    found = sweep.search_offsets(t.aisles(spark, sf_dir), t.FOOTPRINT, map_of(spark, sf_dir))
     keep = ("aisle_id", "label", "tested_offset_count", "feasible_offset_count", "centerline_passed", "passed", "route_recovered", "best_candidate_overlap_pose_count", "best_attempt_blocking_pose_count", "best_attempt_collision_pose_count", "best_attempt_unknown_pose_count")
     return found.select(*keep, *[rounded(c) for c in ("offset_min_m", "offset_max_m", "best_offset_m", "best_clearance_p10_m", "best_min_blocked_clearance_m", "best_attempt_offset_m")])
 
 
 def _smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    on, lanes = _map(spark, sf_dir), t.aisles(spark, sf_dir)
+    on, lanes = map_of(spark, sf_dir), t.aisles(spark, sf_dir)
     before = sweep.search_offsets(lanes, t.FOOTPRINT, on).select("label", "passed")
     return smooth_route.search_smooth_routes(lanes, t.FOOTPRINT, on, baseline=before)
 
 
 @query
 def smooth_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _smooth(spark, sf_dir).drop("route_points", "control_offsets_m", "input_ord")
+    found = _smooth(spark, sf_dir).drop("route_points", "control_offsets_m", "input_ord")
+    return found.select(*[rounded(c) if kind == "double" else c for c, kind in found.dtypes])
+
+
+@query
+def smooth_route_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offsets at the control points of every route, for a strict and a lenient map."""
+    lanes, found = t.aisles(spark, sf_dir), []
+    for lenient in (False, True):
+        routes = smooth_route.search_smooth_routes(lanes, t.FOOTPRINT, map_of(spark, sf_dir, allow_unknown=lenient))
+        found.append(routes.select(F.lit(lenient).alias("allow_unknown"), "aisle_id", F.posexplode("control_offsets_m").alias("k", "o")))
+    return found[0].unionByName(found[1]).select("allow_unknown", "aisle_id", "k", rounded("offset_m", F.col("o")))
+
+
+@query
+def smooth_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where aisles have no route."""
+    routes = smooth_route.search_smooth_routes(t.aisles(spark, sf_dir), t.FOOTPRINT, map_of(spark, sf_dir)).where("not passed")
+    return routes.groupBy("failure_region", "failure_reason").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels"))
 
 
 @query
 def smooth_route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _smooth(spark, sf_dir).select("aisle_id", F.posexplode("route_points").alias("k", "p")).select("aisle_id", "k", "p.*")
+    points = _smooth(spark, sf_dir).select("aisle_id", F.posexplode("route_points").alias("k", "p")).select("aisle_id", "k", "p.*")
+    return points.select(*[rounded(c) if kind == "double" else c for c, kind in points.dtypes])

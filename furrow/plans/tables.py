@@ -5,16 +5,15 @@ The expressions are plain SQL that Spark and DuckDB read alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A point cloud: 97 x 61 cells of 0.05 m, some of them never hit.
+#: A point cloud: 97 x 61 cells of 0.05 m, with a gap after every fifth column and every seventh row.
 POINTS = {
-    "x": "cast(l_partkey % 97 as double) * cast(0.05 as double) + cast(0.025 as double)",
-    "y": "cast(l_suppkey % 61 as double) * cast(0.05 as double) + cast(0.025 as double)",
+    "x": "cast(l_partkey % 97 + floor(l_partkey % 97 / 5) as double) * cast(0.05 as double) + cast(0.025 as double)",
+    "y": "cast(l_suppkey % 61 + floor(l_suppkey % 61 / 7) as double) * cast(0.05 as double) + cast(0.025 as double)",
     "z": "l_discount * cast(2 as double)",
 }
-POINTS_WHERE = "((l_partkey % 97) * 7 + (l_suppkey % 61) * 3) % 13 <> 0"
 POINT_RESOLUTION = 0.05
 
 #: A label grid, 120 cells wide, one cell per order; and a second one with few obstacles, for routes.
@@ -27,11 +26,14 @@ MASK = "o_custkey % 40 < 20"
 #: Aisles: strips of the grid, 115 x 4 cells.
 AISLE_X0, AISLE_X1 = 2, 117
 AISLE_Y0, AISLE_Y1 = "6 * s_suppkey + 1", "6 * s_suppkey + 5"
-#: In the SQL alone, which is left as it is; the view has every aisle that lies within the grid.
-AISLES_WHERE = "s_suppkey < 20"
 GRID_RESOLUTION = 0.1
+#: Oblique aisles: rectangles of 65 x 6.5 cells that climb 25 cells over 60, to the right for even numbers and to the left for odd ones.
+OBLIQUE = ((5.0, 0.0), (65.0, 25.0), (62.5, 31.0), (2.5, 6.0))
+OBLIQUE_Y, OBLIQUE_TOP = "5 * s_suppkey + 1", 31
 #: A rectangle that fits an aisle with room to either side, in metres.
 FOOTPRINT = [(0.12, 0.08), (0.12, -0.08), (-0.12, -0.08), (-0.12, 0.08)]
+#: One that is not convex.
+NOTCHED = [(0.31, 0.17), (0.08, 0.02), (0.29, -0.21), (-0.33, -0.19), (-0.27, 0.23)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(x, y, z) from lineitem."""
-    return table(spark, sf_dir, "lineitem").where(POINTS_WHERE).select(*[F.expr(e).alias(n) for n, e in POINTS.items()])
+    return table(spark, sf_dir, "lineitem").select(*[F.expr(e).alias(n) for n, e in POINTS.items()])
 
 
 def labels(spark: SparkSession, sf_dir: str, label: str = LABEL) -> DataFrame:
@@ -53,10 +55,23 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where(MASK).select(*[F.expr(e).alias(n) for n, e in CELL.items()])
 
 
+def _on_grid(spark: SparkSession, sf_dir: str, corners: list[tuple[Column, Column]], top: Column) -> DataFrame:
+    """(aisle_id, label, polygon, width_m, length_m): the suppliers' aisles that lie within the grid."""
+    rows = table(spark, sf_dir, "orders").agg(F.max(F.expr(CELL["y"])).alias("top"))
+    polygon = F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in corners])
+    found = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(rows)).where(top <= F.col("top"))  # one row
+    none = F.lit(None)
+    return found.select(F.col("s_suppkey").cast("int").alias("aisle_id"), none.cast("string").alias("label"), polygon.alias("polygon"), none.cast("double").alias("width_m"), none.cast("double").alias("length_m"))
+
+
 def aisles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(aisle_id, label, polygon, width_m, length_m): the strips that lie within the grid."""
-    top = table(spark, sf_dir, "orders").agg(F.max(F.expr(CELL["y"])).alias("top"))
+    """Strips along the rows."""
     corners = [(AISLE_X0, AISLE_Y0), (AISLE_X1, AISLE_Y0), (AISLE_X1, AISLE_Y1), (AISLE_X0, AISLE_Y1)]
-    polygon = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.expr(y).cast("double").alias("y")) for x, y in corners])
-    found = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(top)).where(f"{AISLE_Y1} <= top")  # one row
-    return found.select(F.col("s_suppkey").cast("int").alias("aisle_id"), F.lit(None).cast("string").alias("label"), polygon.alias("polygon"), F.lit(None).cast("double").alias("width_m"), F.lit(None).cast("double").alias("length_m"))
+    return _on_grid(spark, sf_dir, [(F.lit(x), F.expr(y)) for x, y in corners], F.expr(AISLE_Y1))
+
+
+def oblique_aisles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles across the rows, either way."""
+    base, left = F.expr(OBLIQUE_Y), F.col("s_suppkey") % 2 == 1
+    corners = [(F.when(left, F.lit(119.0 - x)).otherwise(F.lit(x)), base + F.lit(y)) for x, y in OBLIQUE]
+    return _on_grid(spark, sf_dir, corners, base + OBLIQUE_TOP)
