@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow import cli
-from furrow.functions.raster import covered
+from furrow.functions.labels import label_cells
+from furrow.functions.raster import covered, hull
 from furrow.operators import clearance, components, corridor, distance, grids, layers, segmentation
+from furrow.operators.overlap import overlap
 from furrow.sinks import files as out
 from furrow.sinks import plots
 from furrow.sources import files as src
@@ -137,6 +139,26 @@ def test_exact_percentile(spark, small):
     assert segmentation.exact_percentile(df.where("z > 100"), "z", 0.1) is None
 
 
+@pytest.mark.parametrize("small", [10, 1_000_000])
+def test_percentiles_of_awkward_heights(spark, small):
+    """Infinite, missing, equal and heavy-tailed heights, on either side of the size from which ranges are narrowed."""
+    inf, nan = float("inf"), float("nan")
+    random = np.random.default_rng(4)
+    tails = (10.0 ** random.uniform(-300, 300, 200) * random.choice([-1, 1], 200)).tolist()
+    cases = [[*range(50), inf], [-inf, -inf, *range(40), inf], [inf] * 30, [-inf] * 20 + [inf] * 20, [3.0] * 60, [*tails, 1.7e308, -1.7e308], [0.0] * 300 + [5e-324] * 5, [1.0, 1.0 + 2**-52] * 30]
+    for values in cases:
+        df = spark.createDataFrame([(float(v),) for v in values] + [(nan,), (None,)], "z double")
+        ranked = sorted(map(float, values))
+        for q in (0.0, 0.1, 0.37, 0.5, 1.0):
+            at = q * (len(ranked) - 1)
+            a, b = ranked[int(at)], ranked[min(int(at) + 1, len(ranked) - 1)]
+            want = a if a == b or at == int(at) else a + (b - a) * (at - int(at))
+            got = segmentation.exact_percentile(df, "z", q, small)
+            assert got == want or (np.isnan(got) and np.isnan(want)), (values[:3], q)
+    points = cloud(spark, [(k, 0, z) for k, z in enumerate([0.0] * 40 + [9.0, inf, nan])])
+    assert sorted((str(r.z), r.is_ground) for r in segmentation.height_threshold(points).where("z <> 0 or isnan(z)").collect()) == [("9.0", False), ("inf", False), ("nan", False)]
+
+
 def test_segmentation_rules_differ_below_the_level(spark):
     z = np.concatenate([np.zeros(80), [-1.0], np.full(19, 2.0)]).astype(np.float32)
     points = cloud(spark, [(k, 0, v) for k, v in enumerate(z)])
@@ -205,6 +227,117 @@ def test_point_cloud_files(spark, tmp_path):
     assert found["points"] == 3 and (tmp_path / "o/centerline.csv").read_text().startswith("x,y")
 
 
+def test_large_binary_clouds_are_read_by_many_tasks(spark, tmp_path):
+    points = np.random.default_rng(2).normal(size=(5000, 3)).astype("<f4")
+    for part in (0, 1):
+        out.write_pcd(cloud(spark, points[part::2]), tmp_path / f"clouds/{part}.pcd")
+    found = src.read_pcd(spark, str(tmp_path / "clouds"), 1200)
+    assert found.rdd.getNumPartitions() == 2 * 25
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, points.tolist()))
+    raw = (tmp_path / "clouds/0.pcd").read_bytes()
+    (tmp_path / "short.pcd").write_bytes(raw[:-5])
+    with pytest.raises(ValueError, match="shorter"):
+        src.read_pcd(spark, str(tmp_path / "short.pcd"))
+    (tmp_path / "odd.pcd").write_text(HEAD + "ascii\n1 2 3 4\n5 6 7\n")
+    with pytest.raises(Exception, match="other than the cloud's fields"):
+        src.read_pcd(spark, str(tmp_path / "odd.pcd")).collect()
+    (tmp_path / "nan.pcd").write_text(HEAD + "ascii\n1 2 nan 4\n-5 6e1 .7 8\n9 10 11 12\n")
+    assert [str(r.z) for r in src.read_pcd(spark, str(tmp_path / "nan.pcd")).collect()] == ["nan", "0.699999988079071", "11.0"]
+    with pytest.raises(FileNotFoundError):
+        src.read_pcd(spark, str(tmp_path / "none.pcd"))
+
+
+def test_overlapping_copies_unpack():
+    assert src.unpack_lzf(b"\x02abc\xe0\x05\x02\x20\x00", 3 + 14 + 3) == (b"abc" * 6)[:17] + b"bbb"
+    with pytest.raises(ValueError, match="damaged"):
+        src.unpack_lzf(b"\x00a", 2)
+
+
+def test_a_grid_too_large_is_refused(spark):
+    cells = spark.createDataFrame([(0, 0, 1), (9_999_999, 9_999_999, 1)], "x int, y int, v int")
+    with pytest.raises(ValueError, match="too large"):
+        out.to_array(cells, "v", 0, np.uint8)
+
+
+def test_rows_find_their_nearest_column():
+    random = np.random.default_rng(5)
+    for _ in range(40):
+        rows, width = int(random.integers(1, 5)), int(random.integers(1, 40))
+        row, place = np.repeat(np.arange(rows), width), np.tile(np.arange(width), rows)
+        height = np.where(random.random(rows * width) < random.choice([0.02, 0.3, 1.0]), random.integers(0, 30, rows * width), np.inf)
+        want = [min((place[k] - place[j]) ** 2 + height[j] ** 2 for j in range(len(row)) if row[j] == row[k]) for k in range(len(row))]
+        assert distance.row_minimum(row, place, height).tolist() == want
+
+
+def test_cells_are_labelled_by_their_least():
+    random = np.random.default_rng(9)
+    for density in (0.1, 0.5, 0.62, 0.95):
+        y, x = np.nonzero(random.random((30, 40)) < density)
+        order = random.permutation(len(x))
+        x, y = x[order], y[order]
+        least = {(a, b): (b, a) for a, b in zip(x.tolist(), y.tolist())}
+        changed = True
+        while changed:
+            changed = False
+            for a, b in least:
+                near = min((least[n] for n in ((a + 1, b), (a - 1, b), (a, b + 1), (a, b - 1)) if n in least), default=least[a, b])
+                if near < least[a, b]:
+                    least[a, b], changed = near, True
+        got = label_cells(x, y)
+        assert [(int(y[k]), int(x[k])) for k in got] == [least[c] for c in zip(x.tolist(), y.tolist())]
+    assert len(label_cells(np.zeros(0, int), np.zeros(0, int))) == 0
+
+
+@pytest.mark.parametrize("tile", [4, 7, 256])
+def test_regions_across_tiles(spark, tile):
+    a = np.random.default_rng(11).random((23, 29)) < 0.6
+    y, x = np.nonzero(a)
+    least = label_cells(x, y)
+    want = {(int(p), int(q)): int(y[k]) * (1 << 32) + int(x[k]) for p, q, k in zip(x, y, least)}
+    assert values(components.grid_components(grid(spark, a.astype(int), "v").where("v = 1"), tile), "component") == want
+
+
+def test_components_by_rounds_and_in_one_task_are_alike(spark, monkeypatch):
+    random = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in random.integers(0, 300, (200, 2))] + [(k, k + 1) for k in range(1000, 1100)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one = {tuple(r) for r in components.connected_components(df).collect()}
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    assert {tuple(r) for r in components.connected_components(df).collect()} == one
+    assert components.connected_components(df.limit(0)).count() == 0
+
+
+def test_areas_are_reduced_in_their_tiles(spark):
+    """Polygons of any kind over several tiles and beyond the map, against every cell that they cover."""
+    random = np.random.default_rng(12)
+    base = random.choice([0, 205, 254], (170, 300)).astype(int)
+    candidate, dist = random.random(base.shape) < 0.1, np.where(random.random(base.shape) < 0.05, np.nan, random.random(base.shape))
+    rows = [(int(x), int(y), int(base[y, x]), bool(candidate[y, x]), None if np.isnan(dist[y, x]) else float(dist[y, x])) for y in range(170) for x in range(300)]
+    cells = spark.createDataFrame(rows, "x int, y int, base int, is_candidate boolean, dist_m double")
+    shapes = []
+    for k in range(120):
+        centre = random.uniform([-10, -10], [310, 180])
+        shapes.append((k, [tuple(map(float, centre + random.uniform(-8, 8, 2))) for _ in range(5)]))
+    areas = spark.createDataFrame(shapes, "k int, area array<struct<x:double,y:double>>")
+    for convex in (False, True):
+        found = {r.k: r for r in overlap(areas, "area", cells, 23.0, convex).collect()}
+        assert len(found) == len(shapes)
+        for k, points in shapes:
+            points = np.rint(np.array(points))
+            if convex:
+                points = np.array(hull([tuple(p) for p in points.tolist()]))
+            x, y = covered(points[:, 0], points[:, 1])
+            on = (x >= 0) & (x < 300) & (y >= 0) & (y < 170)
+            v, d = base[y[on], x[on]], dist[y[on], x[on]]
+            d = d[~np.isnan(d)]
+            r = found[k]
+            assert (r.cells, r.occupied, r.unknown, r.candidates) == (on.sum(), (v == 0).sum(), (v == 205).sum(), candidate[y[on], x[on]].sum())
+            assert r.near_m == (d.min() if len(d) else None)
+            assert r.p10_m == (pytest.approx(np.percentile(d, 10)) if len(d) else None)
+    with pytest.raises(Exception, match="margin"):
+        overlap(areas, "area", cells, 2.0).collect()
+
+
 def test_plots_and_pages(spark, tmp_path):
     cells = grid(spark, np.arange(6).reshape(2, 3), "v").where("v <> 1")
     assert values(plots.grid_plot(cells, "v"), "value")[1, 0] is None
