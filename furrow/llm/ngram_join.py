@@ -11,9 +11,10 @@
    Groups are never listed: a group costs a row per member.
 4. Trees. Each bucket's whole sets form a prefix tree that is traversed once per set, sharing the overlaps of common
    paths and pruning by remaining length; sets already connected are not compared. A bucket of more than
-   ``bucket_grams`` shingles (and more than ``LEAST`` sets) is cut into blocks that each also hold the leader. The
-   sets that did not join the leader there are few where a bucket holds copies; they are gathered in blocks of their
-   own, each of which is compared with every block of the bucket. No pair is ever emitted, only one link per set.
+   ``bucket_grams`` shingles (and more than ``LEAST`` sets) is cut into blocks of sets of like size, each with the
+   leader. What is connected after that, in whatever bucket, needs no more comparing: of a bucket of copies hardly
+   anything is left. The sets outside a bucket's largest component are gathered in blocks of their own, each of which
+   is compared with the bucket's blocks of compatible sizes. No pair is ever emitted, only one link per set.
 5. Components of the links, by star contraction.
 
 Shingles are 64-bit hashes, classes 128-bit sums of them. Links join classes, so an id that several texts share joins
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.prefix_tree import link_sets
@@ -174,68 +175,81 @@ def _memberships(sets: DataFrame, num: int, den: int) -> DataFrame:
     rare = rare.select("k1", F.min("k1").over(group).alias("bucket"), F.max("k1").over(group).alias("top"))
 
     # sizes within the threshold fall in one step or in neighbouring ones, so each set counts in its own and the next
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9)
-    own = sets.select("k1", F.explode("frequent").alias("gram"), step.alias("step"))
+    own = sets.select("k1", F.explode("frequent").alias("gram"), _step(F.col("n"), num, den).alias("step"))
     own = own.select("k1", "gram", F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"))
     leaders = own.groupBy("gram", "step").agg(F.min("k1").alias("bucket"), F.max("k1").alias("top"))
     frequent = own.join(leaders.where("bucket < top"), ["gram", "step"])
     return rare.where("bucket < top").select("bucket", "k1").unionByName(frequent.select("bucket", "k1")).distinct()
 
 
-_LINKS = {"bucket": "long", "block": "long", "role": "int", "a": "long", "b": "long", "core": "boolean"}
+_LINKS = {"a": "long", "b": "long", "bucket": "long", "block": "long", "role": "int"}
+
+
+def _step(n: Column, num: int, den: int) -> Column:
+    """Sets that can be similar have sizes in one step or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(den / num)) + 1e-9)
 
 
 def _links(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(bucket, block, role, a, b, core) from rows(bucket, block, role, node, core, text): a node, and one it links to.
+    """(a, b, bucket, block, role) from rows(bucket, block, role, node, label, text): a node, and one it is connected to.
 
-    Texts travel, not sets: they take less room, and their shingles are cheap. role 0: the leader; 1: a set to compare
-    with all others; 2: a set to be compared with only. core: connected with the leader, before and after.
+    Texts travel, not sets: they take less room, and their shingles are cheap. Nodes of one label are connected
+    already. role 0: the leader; 1: a set to compare with all others; 2: a set to be compared with only.
     """
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "int": pa.int32()}
     schema = pa.schema([(name, kinds[kind]) for name, kind in _LINKS.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, roles, sets, cores = None, [], [], [], []
-        out: list[tuple] = []
+        key, rows, sets = None, [], []
+        out: list[list[np.ndarray]] = []
 
         def close() -> None:
-            if len(nodes) > 1:
-                start = np.arange(len(nodes))
-                known = np.flatnonzero(cores)
-                start[known] = known[0] if len(known) else 0  # sets that met at the leader are connected already
-                first = sorted(range(len(nodes)), key=lambda i: roles[i])
-                label = link_sets(sets, num, den, start, [i for i in first if roles[i] < 2]).tolist()
-                least: dict[int, int] = {}
-                for i, c in zip(nodes, label, strict=True):
-                    least[c] = min(least.get(c, i), i)
-                lead = next((label[i] for i in range(len(nodes)) if roles[i] == 0), None)
-                out.extend((*key, r, i, least[c], c == lead) for i, r, c in zip(nodes, roles, label, strict=True))
+            if len(sets) > 1:
+                role, node, label = (np.array(v) for v in zip(*rows, strict=True))
+                start = np.unique(label, return_inverse=True)[1]
+                found = link_sets(sets, num, den, start, [int(i) for i in np.argsort(role, kind="stable") if role[i] < 2])
+                first = np.full(int(found.max()) + 1, np.iinfo(np.int64).max)
+                np.minimum.at(first, found, node)
+                out.append([node, first[found], np.full(len(node), key[0]), np.full(len(node), key[1]), role])
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * len(_LINKS)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         for batch in batches:
             row = list(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True))
             for i, grams in _sets(batch.column(5), n):
-                now = row[i]
-                if key != now[:2]:
+                if key != row[i][:2]:
                     close()
-                    key, nodes, roles, sets, cores = now[:2], [], [], [], []
-                roles.append(now[2])
-                nodes.append(now[3])
-                cores.append(now[4])
+                    key, rows, sets = row[i][:2], [], []
+                rows.append(row[i][2:])
                 sets.append(grams.copy())
-            if len(out) > 50_000:
+            if len(out) > 5000:
                 yield flush()
                 out = []
         close()
         yield flush()
 
-    rows = members.select("bucket", "block", "role", "node", "core", "text")
+    rows = members.select("bucket", "block", "role", "node", "label", "text")
     rows = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
     return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in _LINKS.items()))
 
 
+def _parts(rows: DataFrame, by: list[str], bucket_grams: int) -> DataFrame:
+    """(by…, parts): into how many blocks the sets of rows(by…, n) go."""
+    sizes = rows.groupBy(*by).agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("sets"))
+    count = F.least(F.ceil(F.col("grams") / bucket_grams), F.ceil(F.col("sets") / LEAST))
+    return sizes.select(*by, F.greatest(F.lit(1), count).cast("long").alias("parts"))
+
+
+def _block(step: Column, part: Column) -> Column:
+    return step * (1 << 40) + part + 1
+
+
+def _every(parts: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+
+
 def _classes(
     docs: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, order_size: int, bucket_grams: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -254,28 +268,29 @@ def _classes(
     chosen = materialise(classes.join(buckets, "k1"), "candidates")
 
     # large buckets are dealt out in blocks, the leader to each of them
-    placed = chosen.select("node", "k1", "n", F.explode("buckets").alias("bucket"))
-    large = placed.groupBy("bucket").agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("sets"))
-    count = F.least(F.ceil(F.col("grams") / bucket_grams), F.ceil(F.col("sets") / LEAST)).cast("long")
-    large = materialise(large.select("bucket", count.alias("blocks")).where("blocks > 1"), "large")
+    placed = chosen.select("node", "k1", "n", F.explode("buckets").alias("bucket"), _step(F.col("n"), num, den).alias("step"))
+    large = _parts(placed, ["bucket"], bucket_grams).where("parts > 1").select("bucket")
+    large = materialise(_parts(placed.join(large, "bucket"), ["bucket", "step"], bucket_grams), "large")  # of large buckets alone
     several = not large.isEmpty()
-    if several:
-        placed = placed.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
-    else:
-        placed = placed.withColumn("blocks", F.lit(1).cast("long"))
     leads = F.col("k1") == F.col("bucket")
-    own_block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    blocks_of = F.when(leads, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own_block))
-    places = placed.withColumn("block", F.explode(blocks_of)).select("node", "bucket", "block", F.when(leads, 0).otherwise(1).alias("role"))
+    places = placed.select("node", "bucket", F.lit(0).cast("long").alias("block"), F.when(leads, 0).otherwise(1).alias("role"))
+    if several:
+        cut = placed.join(large, ["bucket", "step"])
+        own = _block(F.col("step"), F.pmod(F.xxhash64("node"), F.col("parts")))
+        cut = cut.where(~leads).select("node", "bucket", own.alias("block"), F.lit(1).alias("role"))
+        lead = placed.where(leads).select("node", "bucket").join(large, "bucket").withColumn("part", _every(F.col("parts")))
+        lead = lead.select("node", "bucket", _block(F.col("step"), F.col("part")).alias("block"), F.lit(0).alias("role"))
+        places = places.join(large.select("bucket").distinct(), "bucket", "left_anti").select("node", "bucket", "block", "role").unionByName(cut).unionByName(lead)
     per_class = places.groupBy("node").agg(F.collect_list(F.struct("bucket", "block", "role")).alias("places"))
     asked = chosen.select("node", "n", "first.id", "first.key")
-    dealt = rows.join(asked.join(per_class, "node"), ["id", "key"]).select("node", "text", F.explode("places").alias("p"), F.lit(False).alias("core"))
+    dealt = rows.join(asked.join(per_class, "node"), ["id", "key"]).select("node", "text", F.explode("places").alias("p"), F.col("node").alias("label"))
     links = materialise(_links(dealt.select("*", "p.*"), n, num, den), "links")
-    edges = links.select("a", "b")
+    found = connected_components(links.select("a", "b"))
     if several:
-        edges = edges.unionByName(_across_blocks(links, large, asked, rows, n, num, den, bucket_grams))
+        more = _across_blocks(links, large, found, asked, rows, n, num, den, bucket_grams)
+        if more is not None:
+            found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    found = connected_components(edges.where("a != b"))
     joined = classes.join(found, "node", "left").where("component is not null or copies > 1")
     joined = joined.select("k1", "k2", "first", F.coalesce("component", "node").alias("component"))
     first = joined.groupBy("component").agg(F.min("first").alias("least"))
@@ -284,22 +299,31 @@ def _classes(
 
 
 def _across_blocks(
-    links: DataFrame, large: DataFrame, asked: DataFrame, rows: DataFrame, n: int, num: int, den: int, bucket_grams: int
-) -> DataFrame:
-    """Links between blocks of one bucket: the sets that did not join the leader, in blocks of their own, against all."""
-    own = links.where("role = 1").join(large, "bucket").select("bucket", "block", "blocks", F.col("a").alias("node"), "core")
-    alone = own.where("not core").join(asked.select("node", "n"), "node")
-    groups = alone.groupBy("bucket").agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("sets"))
-    groups = groups.select("bucket", F.greatest(F.lit(1), F.least(F.ceil(F.col("grams") / bucket_grams), F.ceil(F.col("sets") / LEAST))).cast("long").alias("groups"))
-    groups = materialise(groups, "asking")
+    links: DataFrame, large: DataFrame, found: DataFrame, asked: DataFrame, rows: DataFrame, n: int, num: int, den: int, bucket_grams: int
+) -> DataFrame | None:
+    """Links between blocks of one bucket: the sets outside its largest component, in blocks of their own, against all
+    of compatible sizes; None if there are no such sets."""
+    own = links.where("role = 1").join(large.select("bucket").distinct(), "bucket").select("bucket", "block", F.col("a").alias("node"))
+    own = own.join(found, "node", "left").join(asked.select("node", "n"), "node")
+    own = own.select("node", "bucket", "block", "n", _step(F.col("n"), num, den).alias("step"), F.coalesce("component", "node").alias("label"))
+    own = materialise(own, "placed")
+    counts = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("sets"))
+    main = counts.groupBy("bucket").agg(F.max_by("label", F.struct("sets", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    alone = own.join(main.where("labels > 1"), "bucket").where("label != main")
+    groups = materialise(_parts(alone, ["bucket", "step"], bucket_grams), "asking")
     if groups.isEmpty():
-        return links.select("a", "b").limit(0)
-    own = own.join(groups, "bucket").withColumn("own", F.when(~F.col("core"), F.pmod(F.xxhash64(F.lit("asking"), "node"), F.col("groups"))))
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    asks = own.where("not core").withColumn("other", F.explode(every))
-    asks = asks.select("node", "bucket", (F.col("own") * F.col("blocks") + F.col("other")).alias("block"), F.lit(1).alias("role"), F.lit(False).alias("core"))
-    others = own.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).where("own is null or own != group")
-    others = others.select("node", "bucket", (F.col("group") * F.col("blocks") + F.col("block")).alias("block"), F.lit(2).alias("role"), "core")
+        return None
+    mine = _block(F.col("step"), F.pmod(F.xxhash64(F.lit("asking"), "node"), F.col("parts")))
+    alone = alone.join(groups, ["bucket", "step"]).select("node", "bucket", "step", "label", mine.alias("own"))
+    blocks_of = large.select("bucket", F.col("step").alias("other"), _every(F.col("parts")).alias("part"))
+    blocks_of = blocks_of.select("bucket", "other", _block(F.col("other"), F.col("part")).alias("block"))
+    near = F.abs(F.col("step") - F.col("other")) <= 1
+    both = F.xxhash64("own", "block").alias("block")
+    asks = alone.join(blocks_of, "bucket").where(near).select("node", "bucket", both, F.lit(1).alias("role"), "label")
+    asking = groups.select("bucket", F.col("step").alias("other"), _every(F.col("parts")).alias("part"))
+    asking = asking.select("bucket", "other", _block(F.col("other"), F.col("part")).alias("own"))
+    others = own.join(asking, "bucket").where(near).join(alone.select("node", "bucket", "own"), ["node", "bucket", "own"], "left_anti")
+    others = others.select("node", "bucket", both, F.lit(2).alias("role"), "label")
     texts = rows.join(asked.drop("n"), ["id", "key"]).select("node", "text")
     return _links(texts.join(asks.unionByName(others), "node"), n, num, den).select("a", "b")
 

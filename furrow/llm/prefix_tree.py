@@ -1,17 +1,15 @@
 """A compressed prefix tree over ordered sets, and the similarity join that traverses it.
 
 Sets are written in one order (most frequent member first, so that similar sets share long paths) and stored in a
-trie whose chains are single nodes. A probe walks the tree once: the overlap of a path is counted once for all sets
-below it, and a subtree is cut when the overlap so far and what remains, on either side, cannot reach the bound for
-the smallest set below.
+trie whose chains are single nodes. A probe walks the tree once, level by level: the overlap of a path is counted once
+for all sets below it, and a subtree is cut when the overlap so far and what remains, on either side, cannot reach the
+bound for the smallest set below.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Members of a chain that are compared before the bound is looked at again.
-STEP = 64
 #: So few sets form a tree of hardly more than leaves; they are compared one by one.
 FEW = 4
 
@@ -70,57 +68,51 @@ class PrefixTree:
         for node in stack:
             high[node] = len(rows)
         self.parent, self.end, self.row, self.low, self.high = (np.array(x, np.int64) for x in (parent, end, row, low, high))
-        self.start = np.where(self.parent >= 0, self.end[self.parent], 0)
+        start = np.where(self.parent >= 0, self.end[self.parent], 0)
+        size = self.end - start
+        self.cuts = np.concatenate([[0], np.cumsum(size)])  # of each node's own members among all of the tree's
+        at = np.repeat(self.begin[self.row] + start - self.cuts[:-1], size) + np.arange(self.cuts[-1])
+        self.chain = self.flat[at]
+        self.last = self.flat[np.maximum(self.begin[self.row] + self.end - 1, 0)]
+        self.levels, nodes = [], np.array([0])
         order = np.argsort(self.parent, kind="stable")
-        self.child_order = order
-        self.child_begin = np.searchsorted(self.parent[order], np.arange(len(parent) + 1))
+        first = np.searchsorted(self.parent[order], np.arange(len(parent) + 1))
+        while True:
+            count = first[nodes + 1] - first[nodes]
+            if not count.sum():
+                break
+            nodes = order[np.repeat(first[nodes] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            self.levels.append(nodes)
         self.least = np.array([self.row_size[a:b].min() for a, b in zip(self.low, self.high, strict=True)])
         self.most = np.array([self.row_size[a:b].max() for a, b in zip(self.low, self.high, strict=True)])
-        self.terminal = ends_at
-
-    def _children(self, nodes: np.ndarray) -> np.ndarray:
-        count = self.child_begin[nodes + 1] - self.child_begin[nodes]
-        at = np.repeat(self.child_begin[nodes] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return self.child_order[at.astype(np.int64)]
+        self.node_of = np.empty(len(rows), np.int64)  # where each row ends
+        for node, own in enumerate(ends_at):
+            self.node_of[own] = node
 
-    def similar(self, probe: int, num: int, den: int, component: np.ndarray) -> list[int]:
+    def similar(self, probe: int, num: int, den: int, component: np.ndarray) -> np.ndarray:
         """Rows outside ``probe``'s component with den * |both| >= num * |either|. ``component`` is by row."""
         own = self.flat[self.begin[probe] : self.begin[probe + 1]]
         size = len(own)
-        has = np.zeros(self.members, bool)
-        has[own] = True
         changes = np.concatenate([[0], np.cumsum(component[1:] != component[:-1])])
         alive = (component[self.low] != component[probe]) | (changes[self.high - 1] != changes[self.low])
         alive &= (self.most * den >= num * size) & (size * den >= num * self.least)
         least, most = np.maximum(self.least, -(-num * size // den)), np.minimum(self.most, size * den // num)
-        nodes = self._children(np.array([0]))
-        overlap, done = np.zeros(len(nodes), np.int64), self.start[nodes]
-        found: list[int] = []
-        while len(nodes):
-            keep = alive[nodes]
-            nodes, overlap, done = nodes[keep], overlap[keep], done[keep]
+        has = np.zeros(self.members, np.int64)
+        has[own] = 1
+        gain = np.diff(np.concatenate([[0], np.cumsum(has[self.chain])])[self.cuts])
+        left = np.minimum(size - np.searchsorted(own, self.last, "right"), most - self.end)
+        # |both| must reach num * (|probe| + |other|) / (num + den)
+        need = num * (size + least) - left * (num + den)
+        overlap, kept = np.zeros(len(gain), np.int64), np.zeros(len(gain), bool)
+        kept[0] = True
+        for level in self.levels:
+            nodes = level[kept[self.parent[level]] & alive[level]]
             if not len(nodes):
                 break
-            upto = np.minimum(done + STEP, self.end[nodes])
-            count = upto - done
-            first = (np.cumsum(count) - count)
-            at = np.repeat(self.begin[self.row[nodes]] + done - first, count) + np.arange(count.sum())
-            overlap = overlap + np.add.reduceat(has[self.flat[at]].astype(np.int64), first)
-            last = self.flat[self.begin[self.row[nodes]] + upto - 1]
-            left = np.minimum(size - np.searchsorted(own, last, "right"), most[nodes] - upto)
-            # |both| must reach num * (|probe| + |other|) / (num + den)
-            keep = (overlap + left) * (num + den) >= num * (size + least[nodes])
-            nodes, overlap, done = nodes[keep], overlap[keep], upto[keep]
-            ended = done == self.end[nodes]
-            for node, both in zip(nodes[ended], overlap[ended], strict=True):
-                for row in self.terminal[node]:
-                    if component[row] != component[probe] and both * (num + den) >= num * (size + self.row_size[row]):
-                        found.append(row)
-            below = nodes[ended]
-            children = self._children(below)
-            times = self.child_begin[below + 1] - self.child_begin[below]
-            nodes, overlap, done = np.concatenate([nodes[~ended], children]), np.concatenate([overlap[~ended], np.repeat(overlap[ended], times)]), np.concatenate([done[~ended], self.start[children]])
-        return found
+            overlap[nodes] = overlap[self.parent[nodes]] + gain[nodes]
+            kept[nodes] = overlap[nodes] * (num + den) >= need[nodes]
+        rows = np.flatnonzero(kept[self.node_of] & (component != component[probe]))
+        return rows[overlap[self.node_of[rows]] * (num + den) >= num * (size + self.row_size[rows])]
 
 
 def link_sets(sets: list[np.ndarray], num: int, den: int, component: np.ndarray | None = None, probes: list[int] | None = None) -> np.ndarray:
@@ -140,12 +132,13 @@ def link_sets(sets: list[np.ndarray], num: int, den: int, component: np.ndarray
         return component
     tree = PrefixTree(sets)
     order = np.array(tree.order)
+    row_of = np.argsort(order)
     labels = component[order]
     for i in range(len(sets)) if probes is None else probes:
         if (labels == labels[0]).all():
             break
-        row = int(np.flatnonzero(order == i)[0])
-        for other in tree.similar(row, num, den, labels):
+        row = int(row_of[i])
+        for other in tree.similar(row, num, den, labels).tolist():
             if labels[other] != labels[row]:
                 labels[labels == labels[other]] = labels[row]
     component[order] = labels
