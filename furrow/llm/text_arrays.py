@@ -111,6 +111,14 @@ def _words_of_block(data: np.ndarray, offsets: np.ndarray, at: int) -> tuple[np.
     return np.searchsorted(offsets, s + at, "right") - 1, mix(h + (e - s).astype(np.uint64))
 
 
+def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start up to its end; it depends on those bytes alone."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _power(_P, len(data)), out=total[1:])
+    end = np.maximum(start, end)
+    return mix((total[end] - total[start]) * _power(_P_INVERSE, len(data) + 1)[start] + (end - start).astype(np.uint64))
+
+
 def shingles(text: np.ndarray, word: np.ndarray, n: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets): for each of ``texts`` texts, its distinct n-word shingles, sorted by hash.
 
