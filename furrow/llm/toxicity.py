@@ -13,6 +13,7 @@ gives an empty result. Only the id and the text are read, so other columns canno
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,8 +60,11 @@ def _rows(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], buckets
     return key // buckets, key % buckets, np.bincount(which, np.concatenate(weights), len(key))
 
 
-def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, sizes: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 17, dim: int = 8, steps: int = 300, rate: float = 0.1, seen: int = 3, salience: float = 3.5, patience: int = 40, seed: int = 7) -> ToxicityModel:
-    """Embeddings and softmax trained jointly, full batch, deterministic.
+def fit(
+    doc: np.ndarray, bucket: np.ndarray, x: np.ndarray, labels: np.ndarray, weights: np.ndarray, sizes: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 17, dim: int = 8,
+    steps: int = 300, rate: float = 0.1, seen: int = 3, salience: float = 3.5, patience: int = 40, seed: int = 7,
+) -> ToxicityModel:
+    """Embeddings and softmax trained jointly, full batch, deterministic, on the sparse matrix (doc, bucket, x).
 
     A fifth of the texts steers the stop: training ends ``patience`` steps after their loss was least, and the
     parameters of that step count. Only buckets used by ``seen`` texts or more, and by the texts of one class
@@ -70,10 +74,6 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, sizes: tuple[
     share = float(np.average(labels, weights=weights)) if len(labels) else 0.0
     if not 0.0 < share < 1.0:
         return ToxicityModel(np.zeros(buckets), 40.0 if share else -40.0, sizes)
-    parts = [(a, *_rows(data, offsets, sizes, buckets)) for a, _, data, offsets in blocks(pa.array(texts, pa.large_string()))]
-    doc = np.concatenate([a + d for a, d, _, _ in parts])
-    bucket = np.concatenate([b for _, _, b, _ in parts])
-    x = np.concatenate([w for _, _, _, w in parts])
     n, ones = len(labels), int(labels.sum())
     with_one = np.bincount(bucket, labels[doc], buckets)
     with_any = np.bincount(bucket, minlength=buckets)
@@ -113,16 +113,46 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, sizes: tuple[
     return ToxicityModel(weight, float(b[1] - b[0]), sizes)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", quota: int = 1000, **options) -> ToxicityModel:
-    """Learn from about ``quota`` labelled texts of each class; null labels teach nothing."""
+def train_toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", quota: int = 1000, sizes: tuple[int, ...] = (3, 4, 5),
+    buckets: int = 1 << 17, **options,
+) -> ToxicityModel:
+    """Learn from about ``quota`` labelled texts of each class; null labels teach nothing.
+
+    What reaches the driver are the sample's sparse rows, at most one number a bucket for each text however long it is.
+    """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     share = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     chosen = sample_by_class(rows, "id", "label", quota)  # about 2 * quota rows of two numbers: a proven bound for the broadcast
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    found = sorted(found.select("id", "label", F.coalesce("text", F.lit("")).alias("text")).collect())
-    y = np.array([r["label"] for r in found], float)
+
+    def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in blocks(batch.column(1)):
+                doc, bucket, weight = _rows(data, offsets, sizes, buckets)
+                cuts = np.searchsorted(doc, np.arange(b - a + 1))
+                lists = [pa.ListArray.from_arrays(cuts.astype(np.int32), v) for v in (bucket.astype(np.int32), weight.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], names=["label", "bucket", "weight"])
+
+    got = found.select("label", "text").mapInArrow(matrix, "label int, bucket array<int>, weight array<float>").toArrow()
+    lists = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (got["label"], got["bucket"], got["weight"])]
+    length = np.diff(lists[1].offsets.to_numpy())
+    keys = [lists[k].flatten().to_numpy() for k in (1, 2)]
+    # in an order that does not depend on which partition came first
+    begin = np.cumsum(length) - length
+    first = np.zeros(len(length))
+    some = length > 0
+    if some.any():
+        first[some] = np.add.reduceat(keys[0].astype(np.int64) * (keys[0].astype(np.int64) + 1), begin[some])
+    y = lists[0].to_numpy().astype(float)
+    order = np.lexsort((first, length, y))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    doc = np.repeat(rank, length)
+    y = y[order]
+    at = np.argsort(doc, kind="stable")
     each = [share.get(k, 0) / max(1, int((y == k).sum())) for k in (0, 1)]
-    return fit([r["text"] for r in found], y, np.where(y == 1, each[1], each[0]), **options)
+    return fit(doc[at], keys[0][at].astype(np.int64), keys[1][at].astype(float), y, np.where(y == 1, each[1], each[0]), sizes, buckets, **options)
 
 
 def score_texts(model: ToxicityModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
