@@ -106,6 +106,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def language_model_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's rows with sums rounded, so that engines that add in another order agree."""
+    out = op7_language_model(spark, sf_dir).drop("perplexity")
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join as the pipeline uses it: five words, four fifths."""
+    from furrow.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"), n=5, num=80)
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules alone say of every url."""
+    from furrow.llm.url_filter import Rule, best_rule, host_of, path_of
+
+    pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    return pages.withColumn("found", best_rule(F.col("host"), F.col("path"), [Rule(*r) for r in URL_RULES])).select("page_id", "host", "path", "found.rule", "found.verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
@@ -117,4 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
+    "language_model_rounded": language_model_rounded,
+    "near_duplicates": near_duplicates,
+    "url_rules": url_rules,
 }
