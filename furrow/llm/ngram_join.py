@@ -235,6 +235,19 @@ def _links(members: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in _LINKS.items()))
 
 
+def _with_texts(places: DataFrame, asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """places(node, bucket, block, role, label) with their node's text, looked up once for a node's few places."""
+    each = places.groupBy("node").agg(F.collect_list(F.struct("bucket", "block", "role", "label")).alias("places"))
+    found = rows.join(asked.select("node", "id", "key").join(each, "node"), ["id", "key"])
+    return found.select("node", "text", F.explode("places").alias("p")).select("node", "text", "p.*")
+
+
+def _spread_texts(places: DataFrame, asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """The same for few nodes that may have any number of places each."""
+    nodes = asked.select("node", "id", "key").join(places.select("node").distinct(), "node", "left_semi")
+    return places.join(rows.join(nodes, ["id", "key"]).select("node", "text"), "node")
+
+
 def _parts(rows: DataFrame, by: list[str], bucket_grams: int) -> DataFrame:
     """(by…, parts): into how many blocks the sets of rows(by…, n) go."""
     sizes = rows.groupBy(*by).agg(F.sum("n").alias("grams"), F.count(F.lit(1)).alias("sets"))
@@ -273,18 +286,19 @@ def _classes(
     large = materialise(_parts(placed.join(large, "bucket"), ["bucket", "step"], bucket_grams), "large")  # of large buckets alone
     several = not large.isEmpty()
     leads = F.col("k1") == F.col("bucket")
-    places = placed.select("node", "bucket", F.lit(0).cast("long").alias("block"), F.when(leads, 0).otherwise(1).alias("role"))
+    places = placed.select("node", "bucket", F.lit(0).cast("long").alias("block"), F.when(leads, 0).otherwise(1).alias("role"), F.col("node").alias("label"))
     if several:
         cut = placed.join(large, ["bucket", "step"])
         own = _block(F.col("step"), F.pmod(F.xxhash64("node"), F.col("parts")))
-        cut = cut.where(~leads).select("node", "bucket", own.alias("block"), F.lit(1).alias("role"))
+        cut = cut.where(~leads).select("node", "bucket", own.alias("block"), F.lit(1).alias("role"), F.col("node").alias("label"))
         lead = placed.where(leads).select("node", "bucket").join(large, "bucket").withColumn("part", _every(F.col("parts")))
-        lead = lead.select("node", "bucket", _block(F.col("step"), F.col("part")).alias("block"), F.lit(0).alias("role"))
-        places = places.join(large.select("bucket").distinct(), "bucket", "left_anti").select("node", "bucket", "block", "role").unionByName(cut).unionByName(lead)
-    per_class = places.groupBy("node").agg(F.collect_list(F.struct("bucket", "block", "role")).alias("places"))
+        lead = lead.select("node", "bucket", _block(F.col("step"), F.col("part")).alias("block"), F.lit(0).alias("role"), F.col("node").alias("label"))
+        places = places.join(large.select("bucket").distinct(), "bucket", "left_anti").unionByName(cut)
     asked = chosen.select("node", "n", "first.id", "first.key")
-    dealt = rows.join(asked.join(per_class, "node"), ["id", "key"]).select("node", "text", F.explode("places").alias("p"), F.col("node").alias("label"))
-    links = materialise(_links(dealt.select("*", "p.*"), n, num, den), "links")
+    dealt = _with_texts(places, asked, rows)
+    if several:
+        dealt = dealt.unionByName(_spread_texts(lead, asked, rows))
+    links = materialise(_links(dealt, n, num, den), "links")
     found = connected_components(links.select("a", "b"))
     if several:
         more = _across_blocks(links, large, found, asked, rows, n, num, den, bucket_grams)
@@ -324,8 +338,7 @@ def _across_blocks(
     asking = asking.select("bucket", "other", _block(F.col("other"), F.col("part")).alias("own"))
     others = own.join(asking, "bucket").where(near).join(alone.select("node", "bucket", "own"), ["node", "bucket", "own"], "left_anti")
     others = others.select("node", "bucket", both, F.lit(2).alias("role"), "label")
-    texts = rows.join(asked.drop("n"), ["id", "key"]).select("node", "text")
-    return _links(texts.join(asks.unionByName(others), "node"), n, num, den).select("a", "b")
+    return _links(_spread_texts(materialise(asks.unionByName(others), "places"), asked, rows), n, num, den).select("a", "b")
 
 
 def ngram_join(
