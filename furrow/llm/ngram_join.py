@@ -49,8 +49,8 @@ CHUNK = 1 << 21
 RARE = 6
 #: Steps of the logarithm of counts by which the global order's table is cut off.
 STEPS = 16
-#: Sets that one block may always hold.
-LEAST = 32
+#: Sets that one block may always hold; rows of three numbers that are broadcast.
+LEAST, FEW_NODES = 32, 1 << 18
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -243,8 +243,10 @@ def _with_texts(places: DataFrame, asked: DataFrame, rows: DataFrame) -> DataFra
 
 
 def _spread_texts(places: DataFrame, asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """The same for few nodes that may have any number of places each."""
-    nodes = asked.select("node", "id", "key").join(places.select("node").distinct(), "node", "left_semi")
+    """The same for nodes that may have any number of places each: broadcast if they are few, counted beforehand."""
+    nodes = materialise(asked.select("node", "id", "key").join(places.select("node").distinct(), "node", "left_semi"), "nodes")
+    if nodes.count() <= FEW_NODES:
+        nodes = F.broadcast(nodes)
     return places.join(rows.join(nodes, ["id", "key"]).select("node", "text"), "node")
 
 
