@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Cells of whole grid rows that a task combines at a time; a longer row is a group of its own.
-STRIP = 1 << 18
+#: Whole grid rows that are combined at a time.
+STRIP = 8
 
 
 def row_minimum(row: np.ndarray, place: np.ndarray, height: np.ndarray) -> np.ndarray:
@@ -53,13 +53,12 @@ def distance_transform(cells: DataFrame, blocked: str = "blocked") -> DataFrame:
     along columns come from two running windows; rows then combine them, strips of whole rows at a time, which carry
     all other columns along.
     """
-    width = cells.agg(F.max("x") - F.min("x") + 1).first()[0] or 1
     column = Window.partitionBy("x").orderBy("y")
     mark = F.when(F.col(blocked), F.col("y"))
     before = F.last(mark, True).over(column.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(mark, True).over(column.rowsBetween(0, Window.unboundedFollowing))
     near = cells.withColumn("_g", F.least(F.col("y") - before, after - F.col("y")).cast("double"))
-    near = near.withColumn("_strip", F.floor(F.col("y") / max(1, STRIP // width)))
+    near = near.withColumn("_strip", F.floor(F.col("y") / STRIP))
     schema = T.StructType([*cells.schema.fields, T.StructField("d2", T.LongType())])
 
     def combine(_, part):

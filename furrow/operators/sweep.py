@@ -56,16 +56,16 @@ class Map:
         """From cells(x, y, base) and, optionally, is_candidate.
 
         The distances are computed once and written to the shared folder, as every route reads them; the size is two
-        numbers read from the cells.
+        numbers read from what was written.
         """
         if resolution <= 0:
             raise ValueError("resolution must be positive")
         if "is_candidate" not in cells.columns:
             cells = cells.withColumn("is_candidate", F.lit(False))
-        size = cells.agg(F.max("x"), F.max("y")).first()
         marked = cells.select("x", "y", "base", "is_candidate", blocked(F.col("base"), allow_unknown).alias("blocked"))
-        width, height = (0 if n is None else n + 1 for n in size)
-        return cls(materialise(with_distance(marked, resolution).drop("blocked"), "map"), width, height, resolution, allow_unknown)
+        grid = materialise(with_distance(marked, resolution).drop("blocked"), "map")
+        width, height = (0 if n is None else n + 1 for n in grid.agg(F.max("x"), F.max("y")).first())
+        return cls(grid, width, height, resolution, allow_unknown)
 
 
 def along(aisles: DataFrame, resolution: float) -> DataFrame:
@@ -190,7 +190,7 @@ def _offset_routes(every: DataFrame, points: Footprint, on: Map, sample_spacing_
 def search_offsets(aisles: DataFrame, footprint: Footprint, on: Map, sample_spacing_m: float = SAMPLE_SPACING_M, offset_step_m: float = OFFSET_STEP_M) -> DataFrame:
     """One row per aisle: the best passing offset, else the best attempt, and how the centreline fares."""
     points = check(footprint, sample_spacing_m=sample_spacing_m)
-    every = materialise(offsets_across(aisles, points, on.resolution, offset_step_m), "offsets")
+    every = offsets_across(aisles, points, on.resolution, offset_step_m)
     routes = _offset_routes(every, points, on, sample_spacing_m)
     offset = F.col("offset_m")
     rank = [-F.col("clearance_p10_m"), -F.col("min_blocked_clearance_m"), F.col("candidate_overlap_pose_count"), F.abs(offset), offset]
