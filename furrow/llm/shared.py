@@ -37,12 +37,13 @@ def text_key(text: Column) -> Column:
 def keep_chosen(docs: DataFrame, marked: DataFrame, id_col: str, key: Column) -> DataFrame:
     """``docs`` less the rows that marked(id, key, kept) drops; of rows that share a kept id and key, any one.
 
-    ``key`` is the expression over ``docs`` that ``marked`` holds as key. Rows that ``marked`` does not name stay.
+    ``key`` is the expression over ``docs`` that ``marked`` holds as key. Rows that ``marked`` does not name stay. The
+    rows to drop grow with the input, so they are merged in at every size instead of broadcast while they are few.
     """
     own_id, own_key = fresh(docs, "gone_id"), fresh(docs, "gone_key")
     same = F.col(id_col).eqNullSafe(F.col(own_id)) & (key == F.col(own_key))
     marked = marked.select(F.col("id").alias(own_id), F.col("key").alias(own_key), "kept")
-    left = docs.join(marked.where(~F.col("kept")).drop("kept").distinct(), same, "left_anti")
+    left = docs.join(marked.where(~F.col("kept")).drop("kept").distinct().hint("merge"), same, "left_anti")
     again = marked.where("kept").groupBy(own_id, own_key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     again = materialise(again, "twins")
     if again.isEmpty():
