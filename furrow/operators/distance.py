@@ -53,10 +53,9 @@ def distance_transform(cells: DataFrame, blocked: str = "blocked") -> DataFrame:
     along columns come from two running windows; rows then combine them, strips of whole rows at a time, which carry
     all other columns along.
     """
-    column = Window.partitionBy("x").orderBy("y")
+    up, down = (Window.partitionBy("x").orderBy(y).rowsBetween(Window.unboundedPreceding, 0) for y in (F.asc("y"), F.desc("y")))
     mark = F.when(F.col(blocked), F.col("y"))
-    before = F.last(mark, True).over(column.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, True).over(column.rowsBetween(0, Window.unboundedFollowing))
+    before, after = F.last(mark, True).over(up), F.last(mark, True).over(down)  # frames that begin at the current row are evaluated anew for each row
     near = cells.withColumn("_g", F.least(F.col("y") - before, after - F.col("y")).cast("double"))
     near = near.withColumn("_strip", F.floor(F.col("y") / STRIP))
     schema = T.StructType([*cells.schema.fields, T.StructField("d2", T.LongType())])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions.numbers import numbered_label
 from furrow.functions.raster import covered_cells
+from furrow.storage import spread
 
 #: Fixed values of the map image.
 OCCUPIED, UNKNOWN, FREE = 0, 205, 254
@@ -16,7 +17,7 @@ HARD, CANDIDATE, PILLAR, GROUND = (2, 4, 6), (3, 5), (6,), 1
 
 def aisle_cells(aisles: DataFrame) -> DataFrame:
     """(aisle_id, x, y) of the cells that each aisle's rounded polygon covers."""
-    return aisles.select("aisle_id", F.explode(covered_cells(F.col("polygon"))).alias("c")).select("aisle_id", "c.x", "c.y")
+    return spread(aisles, "aisle_id").select("aisle_id", F.explode(covered_cells(F.col("polygon"))).alias("c")).select("aisle_id", "c.x", "c.y")
 
 
 def labelled(aisles: DataFrame) -> DataFrame:
