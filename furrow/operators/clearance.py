@@ -32,7 +32,8 @@ def clearance_connectivity(cells: DataFrame, aisles: DataFrame, resolution: floa
     probe, other = Axis.of(F.col("polygon")).probes(fraction)
     ends = labelled(aisles).select("aisle_id", "label", *[rounded_cell(p[a]).alias(f"{n}{a}") for n, p in (("s", probe), ("e", other)) for a in ("x", "y")])
     asked = ends.select("*", F.explode(F.array(*[F.lit(float(r)) for r in radii])).alias("radius"))
-    inside = aisle_cells(aisles).join(safe_cells(cells, resolution, radii), ["x", "y"]).join(ends.drop("label"), "aisle_id")
+    # cells by the hundred to an aisle: the planner, which sees the aisles' size, would broadcast them
+    inside = aisle_cells(aisles).hint("merge").join(safe_cells(cells, resolution, radii), ["x", "y"]).join(ends.drop("label"), "aisle_id")
 
     def connect(key, part):
         x, y = part["x"].to_numpy(), part["y"].to_numpy()

@@ -32,3 +32,8 @@ def test_distances_along_a_column_take_linear_time(spark):
     found = distance.distance_transform(cells)
     assert "unboundedfollowing" not in plan(found).lower()  # Spark evaluates such a frame anew for each row
     assert [r.d2 for r in found.orderBy("y").collect()] == [min((y - 10) ** 2, (y - 40) ** 2) for y in range(50)]
+
+
+def test_cells_of_aisles_are_not_broadcast(spark, folder):
+    found = clearance.clearance_connectivity(queries.layers_of(spark, folder, t.SPARSE_LABEL), t.aisles(spark, folder), t.GRID_RESOLUTION, queries.RADII)
+    assert not re.search(r"BroadcastHashJoin \[x[^\n]*Inner", plan(found))
