@@ -13,38 +13,62 @@ import json
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from furrow.operators import clearance, layers, sweep
-from furrow.storage import write_bytes, writing
+from furrow.storage import materialise, write_bytes, writing
 
-#: A larger grid is not collected.
-MOST_CELLS = 1 << 28
+#: A larger grid is not collected. Cells of a grid that are filled at a time.
+MOST_CELLS, STRIP = 1 << 28, 1 << 18
 
 
 def to_array(cells: DataFrame, column: str, fill: float, dtype: type, most: int = MOST_CELLS) -> np.ndarray:
-    """One grid as an array indexed [y, x]; absent and null cells hold ``fill``. More than ``most`` cells are an error."""
+    """One grid as an array indexed [y, x]; absent and null cells hold ``fill``. More than ``most`` cells are an error.
+
+    Executors fill strips of whole rows; the driver gets these one after another and never the cells as rows.
+    """
     width, height = (0 if n is None else n + 1 for n in cells.agg(F.max("x"), F.max("y")).first())
     if width * height > most:
         raise ValueError(f"a grid of {width} x {height} cells is too large for one array")
     out = np.full((height, width), fill, dtype)
-    table = cells.select("x", "y", F.col(column).cast("double").alias("v")).where("v is not null").toPandas()
-    out[table["y"].to_numpy(), table["x"].to_numpy()] = table["v"].to_numpy()
+    rows = max(1, STRIP // max(1, width))
+
+    def fill_strip(key, part):
+        first = key[0].as_py() * rows
+        strip = np.full((min(rows, height - first), width), fill, dtype)
+        strip[part["y"].to_numpy() - first, part["x"].to_numpy()] = part["v"].to_numpy()
+        return pa.table({"first": pa.array([first], pa.int64()), "data": pa.array([strip.tobytes()], pa.binary())})
+
+    held = cells.select("x", "y", F.col(column).cast("double").alias("v")).where("v is not null")
+    strips = held.groupBy(F.floor(F.col("y") / rows).alias("_strip")).applyInArrow(fill_strip, "first long, data binary")
+    for r in materialise(strips, "strips").toLocalIterator():
+        strip = np.frombuffer(r["data"], dtype).reshape(-1, width)
+        out[r["first"] : r["first"] + len(strip)] = strip
     return out
 
 
+def _write_rows(head: bytes, grid: np.ndarray, path: str | Path) -> None:
+    """A head and a grid's rows, a few megabytes at a time."""
+    step = max(1, (1 << 22) // max(1, grid.shape[1] * grid.itemsize))
+    with writing(path) as write:
+        write(head)
+        for a in range(0, len(grid), step):
+            write(grid[a : a + step].tobytes())
+
+
 def write_pgm(grid: np.ndarray, path: str | Path) -> None:
     """A binary gray image; the grid's lowest row comes last."""
     height, width = grid.shape
-    write_bytes(path, b"P5\n%d %d\n255\n" % (width, height) + np.ascontiguousarray(grid[::-1], np.uint8).tobytes())
+    _write_rows(b"P5\n%d %d\n255\n" % (width, height), grid[::-1].astype(np.uint8, copy=False), path)
 
 
 def write_npy(grid: np.ndarray, path: str | Path) -> None:
-    out = io.BytesIO()
-    np.save(out, grid)
-    write_bytes(path, out.getvalue())
+    grid, head = np.ascontiguousarray(grid), io.BytesIO()
+    np.lib.format.write_array_header_1_0(head, np.lib.format.header_data_from_array_1_0(grid))
+    _write_rows(head.getvalue(), grid, path)
 
 
 def write_pcd(points: DataFrame, path: str | Path) -> int:

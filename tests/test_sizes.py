@@ -37,3 +37,14 @@ def test_distances_along_a_column_take_linear_time(spark):
 def test_cells_of_aisles_are_not_broadcast(spark, folder):
     found = clearance.clearance_connectivity(queries.layers_of(spark, folder, t.SPARSE_LABEL), t.aisles(spark, folder), t.GRID_RESOLUTION, queries.RADII)
     assert not re.search(r"BroadcastHashJoin \[x[^\n]*Inner", plan(found))
+
+
+def test_a_grid_reaches_the_driver_in_strips(spark, folder, monkeypatch):
+    monkeypatch.setattr(out, "STRIP", 7 * 120, raising=False)  # 40 rows: five whole strips and a shorter one
+    labels = t.labels(spark, folder).where("x <> 3 or y <> 5")
+    monkeypatch.setattr(type(labels), "toPandas", lambda _: pytest.fail("cells as rows on the driver"))
+    want = np.full((40, 120), 9, np.uint8)
+    for r in labels.collect():
+        want[r.y, r.x] = r.label
+    assert np.array_equal(out.to_array(labels, "label", 9, np.uint8), want)
+    assert want[5, 3] == 9
