@@ -144,7 +144,7 @@ def _text_points(spark: SparkSession, uri: str, head: CloudHeader) -> DataFrame:
 def _ranged_points(spark: SparkSession, uri: str, head: CloudHeader, bytes_each: int) -> DataFrame:
     width = head.record.itemsize
     each = max(1, bytes_each // width)
-    tasks = -(-head.points // each)
+    ranges = -(-head.points // each)
     store = uri if "://" in uri else uri.replace(":/", ":///", 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,13 +158,14 @@ def _ranged_points(spark: SparkSession, uri: str, head: CloudHeader, bytes_each:
                         points = head.points_of(source.read(n * width), 0, n)
                         yield pa.RecordBatch.from_arrays([pa.array(points[:, c]) for c in range(3)], names=list("xyz"))
 
-    return spark.range(0, tasks, 1, tasks).mapInArrow(run, _POINT)
+    slices = max(4 * spark.sparkContext.defaultParallelism, -(-head.points * width // RANGE))  # a task may read many small ranges
+    return spark.range(0, ranges, 1, min(ranges, slices)).mapInArrow(run, _POINT)
 
 
 def read_pcd(spark: SparkSession, path: str, bytes_each: int = RANGE) -> DataFrame:
     """(x, y, z) as single-precision numbers, of one file, a folder or a pattern; an empty or misshapen cloud fails.
 
-    Binary clouds are read by ranges of about ``bytes_each`` bytes, a task each; ascii ones as Spark splits text.
+    Binary clouds are read by ranges of about ``bytes_each`` bytes, one or more to a task; ascii ones as Spark splits text.
     """
 
     def whole(content: bytes) -> Iterator[pd.DataFrame]:

@@ -48,3 +48,24 @@ def test_a_grid_reaches_the_driver_in_strips(spark, folder, monkeypatch):
         want[r.y, r.x] = r.label
     assert np.array_equal(out.to_array(labels, "label", 9, np.uint8), want)
     assert want[5, 3] == 9
+
+
+def test_points_reach_the_driver_packed(spark, tmp_path, monkeypatch):
+    rows = [(float(k), k / 4, None if k == 7 else -float(k)) for k in range(1000)]
+    points = spark.createDataFrame(rows, "x float, y float, z float").repartitionByRange(3, "x")
+    passed, iterate = [], type(points).toLocalIterator
+    monkeypatch.setattr(type(points), "toLocalIterator", lambda df, *a, **k: passed.append(df.columns) or iterate(df, *a, **k))
+    path = f"file://{tmp_path}/cloud.pcd"
+    assert out.write_pcd(points, path) == 1000
+    assert passed == [["part", "seq", "data"]]  # not x, y, z
+    raw = (tmp_path / "cloud.pcd").read_bytes()
+    found = np.frombuffer(raw[raw.index(b"DATA binary\n") + 12 :], "<f4").reshape(-1, 3)
+    assert np.array_equal(found, np.array(rows, np.float32), equal_nan=True)
+    read = src.read_pcd(spark, path, 120)
+    assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert read.count() == 1000 and read.agg(F.sum("x")).first()[0] == sum(range(1000))
+
+
+def test_an_empty_cloud_is_written(spark, tmp_path):
+    assert out.write_pcd(spark.createDataFrame([], "x float, y float, z float"), f"{tmp_path}/none.pcd") == 0
+    assert (tmp_path / "none.pcd").read_bytes().endswith(b"POINTS 0\nDATA binary\n")
