@@ -18,7 +18,7 @@ from furrow.functions.numbers import clip, distinct_within, linspace, steps_with
 from furrow.operators.distance import with_distance
 from furrow.operators.layers import blocked, labelled
 from furrow.operators.overlap import RESULTS, overlap
-from furrow.storage import materialise
+from furrow.storage import materialise, spread
 
 Footprint = Sequence[tuple[float, float]]
 
@@ -70,7 +70,7 @@ class Map:
 
 def along(aisles: DataFrame, resolution: float) -> DataFrame:
     """aisles with their axis and frame as columns: axis_…, length_along_m, width_across_m, yaw, ``input_ord`` if missing."""
-    aisles = labelled(aisles).withColumns(Axis.of(F.col("polygon")).named())
+    aisles = spread(labelled(aisles), "aisle_id").withColumns(Axis.of(F.col("polygon")).named())
     if "input_ord" not in aisles.columns:
         aisles = aisles.withColumn("input_ord", F.col("aisle_id"))
     axis = Axis.columns()
@@ -154,7 +154,7 @@ CLEARANCES = ("min_blocked_clearance_m", "clearance_p10_m", "mean_clearance_m")
 
 def _routes(frames: DataFrame, keys: list[str], footprint: Footprint, on: Map, spacing: float, offset: Column, clip_outside: bool) -> DataFrame:
     """frames(keys…, polygon, length_along_m, yaw): metrics of one route each; a too long footprint fails without poses."""
-    stops = frames.withColumn("_offset", offset).select("*", F.posexplode(distances_along(F.col("length_along_m"), footprint, spacing)).alias("pose_idx", "_d"))
+    stops = spread(frames, "aisle_id").withColumn("_offset", offset).select("*", F.posexplode(distances_along(F.col("length_along_m"), footprint, spacing)).alias("pose_idx", "_d"))
     x, y = Axis.columns().at(F.col("_d"), F.col("_offset"), on.resolution)
     metrics = route_metrics(evaluate(stops.select(*keys, "pose_idx", x.alias("x"), y.alias("y"), "yaw"), [*keys, "pose_idx"], footprint, on, clip_outside), keys)
     out = frames.join(metrics, keys, "left")
@@ -179,7 +179,7 @@ def validate_footprint(aisles: DataFrame, footprint: Footprint, on: Map, sample_
 def offset_routes(aisles: DataFrame, footprint: Footprint, on: Map, sample_spacing_m: float = SAMPLE_SPACING_M, offset_step_m: float = OFFSET_STEP_M) -> DataFrame:
     """One row per aisle and constant lateral offset: the route's metrics."""
     points = check(footprint, sample_spacing_m=sample_spacing_m)
-    return _offset_routes(offsets_across(aisles, points, on.resolution, offset_step_m), points, on, sample_spacing_m)
+    return _offset_routes(materialise(offsets_across(aisles, points, on.resolution, offset_step_m), "offsets"), points, on, sample_spacing_m)
 
 
 def _offset_routes(every: DataFrame, points: Footprint, on: Map, sample_spacing_m: float) -> DataFrame:

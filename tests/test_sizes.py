@@ -69,3 +69,17 @@ def test_points_reach_the_driver_packed(spark, tmp_path, monkeypatch):
 def test_an_empty_cloud_is_written(spark, tmp_path):
     assert out.write_pcd(spark.createDataFrame([], "x float, y float, z float"), f"{tmp_path}/none.pcd") == 0
     assert (tmp_path / "none.pcd").read_bytes().endswith(b"POINTS 0\nDATA binary\n")
+
+
+def test_aisles_of_one_file_are_dealt_to_many_tasks(spark, folder):
+    lanes = t.aisles(spark, folder)
+    assert lanes.rdd.getNumPartitions() == 1
+    assert sweep.along(lanes, t.GRID_RESOLUTION).rdd.getNumPartitions() > 4
+
+
+@pytest.mark.parametrize("search", [sweep.offset_routes])
+def test_offsets_are_computed_once(spark, folder, search, monkeypatch):
+    kept, keep = [], sweep.materialise
+    monkeypatch.setattr(sweep, "materialise", lambda df, name: kept.append(name) or keep(df, name))
+    search(t.aisles(spark, folder), t.FOOTPRINT, queries.map_of(spark, folder))
+    assert kept == ["map", "offsets"]
