@@ -77,7 +77,7 @@ def test_aisles_of_one_file_are_dealt_to_many_tasks(spark, folder):
     assert sweep.along(lanes, t.GRID_RESOLUTION).rdd.getNumPartitions() > 4
 
 
-@pytest.mark.parametrize("search", [sweep.offset_routes])
+@pytest.mark.parametrize("search", [sweep.offset_routes, sweep.search_offsets])
 def test_offsets_are_computed_once(spark, folder, search, monkeypatch):
     kept, keep = [], sweep.materialise
     monkeypatch.setattr(sweep, "materialise", lambda df, name: kept.append(name) or keep(df, name))
