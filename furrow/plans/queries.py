@@ -266,7 +266,7 @@ def smooth_route_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def smooth_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where aisles have no route."""
     routes = smooth_route.search_smooth_routes(t.aisles(spark, sf_dir), t.FOOTPRINT, map_of(spark, sf_dir)).where("not passed")
-    return routes.groupBy("failure_region", "failure_reason").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels"))
+    return routes.groupBy("failure_region", "failure_reason").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("aisle_id", "label"))), lambda s: s["label"]), ",").alias("labels"))
 
 
 @query

@@ -83,3 +83,12 @@ def test_offsets_are_computed_once(spark, folder, search, monkeypatch):
     monkeypatch.setattr(sweep, "materialise", lambda df, name: kept.append(name) or keep(df, name))
     search(t.aisles(spark, folder), t.FOOTPRINT, queries.map_of(spark, folder))
     assert kept == ["map", "offsets"]
+
+
+def test_failed_aisles_are_listed_by_number(spark, tmp_path):
+    """Two aisles past A99, in whose rows all is blocked: by text A100 and A101 come before A20."""
+    walls = {6 * k + d for k in (20, 100, 101) for d in range(1, 6)}
+    keys = [(k, 211 if k // 120 in walls else 1) for k in range(120 * 614)]
+    spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(20,), (50,), (100,), (101,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [r.labels for r in queries.QUERIES["smooth_failures"](spark, str(tmp_path)).collect()] == ["A20,A100,A101"]
