@@ -54,7 +54,8 @@ def _bundle(spark: SparkSession, sf_dir: str) -> str:
 def bundle_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _bundle(spark, sf_dir)
     masks = [src.read_mask(spark, f"{folder}/{name}.npy", column) for name, column in (("candidate_mask", "is_candidate"), ("static_obstacle_mask", "is_hard"))]
-    return masks[0].join(masks[1], ["x", "y"]).join(src.read_pgm(spark, f"{folder}/navigation_base_map.pgm"), ["x", "y"])
+    image = src.read_pgm(spark, f"{folder}/navigation_base_map.pgm")
+    return masks[0].join(masks[1].hint("merge"), ["x", "y"]).join(image.hint("merge"), ["x", "y"])  # cells of a small file are many rows
 
 
 @query

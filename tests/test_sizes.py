@@ -92,3 +92,7 @@ def test_failed_aisles_are_listed_by_number(spark, tmp_path):
     spark.createDataFrame(keys, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame([(20,), (50,), (100,), (101,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     assert [r.labels for r in queries.QUERIES["smooth_failures"](spark, str(tmp_path)).collect()] == ["A20,A100,A101"]
+
+
+def test_files_of_masks_are_not_broadcast(spark, folder):
+    assert "BroadcastHashJoin" not in plan(file_queries.bundle_masks(spark, folder))
