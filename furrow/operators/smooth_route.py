@@ -17,7 +17,7 @@ from furrow.functions.geometry import Axis, leaves_grid, placed
 from furrow.functions.numbers import largest_step, linspace
 from furrow.operators.overlap import overlap
 from furrow.operators.sweep import OFFSET_STEP_M, SAMPLE_SPACING_M, Footprint, Map, check, distances_along, evaluate, offsets_across, span_m
-from furrow.storage import materialise
+from furrow.storage import materialise, spread
 
 #: Distance between control points, and how much the offset may change between two.
 CONTROL_SPACING_M, MAX_OFFSET_CHANGE_M = 0.50, 0.10
@@ -45,7 +45,7 @@ def transitions(frames: DataFrame, max_offset_change_m: float = MAX_OFFSET_CHANG
     """
     if max_offset_change_m < 0:
         raise ValueError("max_offset_change_m must not be negative")
-    ends = frames.where(F.size("stations") >= 2).select(
+    ends = spread(frames, "aisle_id").where(F.size("stations") >= 2).select(
         "aisle_id", "input_ord", *AXIS, F.col("yaw").alias("axis_yaw"), "offsets",
         F.posexplode(F.zip_with(F.slice("stations", 1, F.size("stations") - 1), F.slice("stations", 2, F.size("stations") - 1), lambda a, b: F.struct(a.alias("d0"), b.alias("d1")))).alias("stage", "d"),
     )
@@ -153,7 +153,7 @@ def sampled(frames: DataFrame, planned: DataFrame, footprint: Footprint, on: Map
     n = F.size("stations") - 1
     legs = F.zip_with(F.slice("stations", 1, n), F.slice("stations", 2, n), lambda a, b: F.struct(a.alias("d0"), b.alias("d1")))
     sides = F.zip_with(F.slice("control_offsets_m", 1, n), F.slice("control_offsets_m", 2, n), lambda a, b: F.struct(a.alias("o0"), b.alias("o1")))
-    legs = routes.select("aisle_id", "input_ord", *AXIS, F.col("yaw").alias("axis_yaw"), F.posexplode(F.arrays_zip(legs.alias("leg"), sides.alias("side"))).alias("stage", "e"))
+    legs = spread(routes, "aisle_id").select("aisle_id", "input_ord", *AXIS, F.col("yaw").alias("axis_yaw"), F.posexplode(F.arrays_zip(legs.alias("leg"), sides.alias("side"))).alias("stage", "e"))
     legs = legs.select("*", "e.leg.d0", "e.leg.d1", "e.side.o0", "e.side.o1")
     ds = F.col("d1") - F.col("d0")
     count = F.greatest(F.lit(2), F.ceil(ds / sample_spacing_m) + 1)
