@@ -102,3 +102,10 @@ def test_files_of_masks_are_not_broadcast(spark, folder):
 def test_maps_are_written_without_their_cells_on_the_driver(spark, folder, monkeypatch, name, rows):
     monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda _: pytest.fail("cells as rows on the driver"))
     assert queries.QUERIES[name](spark, folder).count() == rows
+
+
+def test_offsets_of_oblique_aisles_are_computed_once(spark, folder, monkeypatch):
+    kept, keep = [], sweep.materialise
+    monkeypatch.setattr(sweep, "materialise", lambda df, name: kept.append(name) or keep(df, name))
+    assert {r.aisle_id for r in queries.oblique_offset_routes(spark, folder).collect()} == {0, 1}
+    assert kept == ["map", "offsets"]
