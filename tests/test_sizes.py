@@ -98,7 +98,7 @@ def test_files_of_masks_are_not_broadcast(spark, folder):
     assert "BroadcastHashJoin" not in plan(file_queries.bundle_masks(spark, folder))
 
 
-@pytest.mark.parametrize(("name", "rows"), [("bundle_validation", 1)])
+@pytest.mark.parametrize(("name", "rows"), [("map_image", 120 * 40), ("bundle_validation", 1)])
 def test_maps_are_written_without_their_cells_on_the_driver(spark, folder, monkeypatch, name, rows):
     monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda _: pytest.fail("cells as rows on the driver"))
     assert queries.QUERIES[name](spark, folder).count() == rows
