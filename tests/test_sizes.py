@@ -109,3 +109,11 @@ def test_offsets_of_oblique_aisles_are_computed_once(spark, folder, monkeypatch)
     monkeypatch.setattr(sweep, "materialise", lambda df, name: kept.append(name) or keep(df, name))
     assert {r.aisle_id for r in queries.oblique_offset_routes(spark, folder).collect()} == {0, 1}
     assert kept == ["map", "offsets"]
+
+
+def test_inputs_are_refused_over_a_map_of_linear_time(spark, folder, monkeypatch):
+    plans, keep = [], sweep.materialise
+    monkeypatch.setattr(sweep, "materialise", lambda df, name: plans.append(plan(df).lower()) or keep(df, name))
+    found = dict(file_queries.refused_inputs(spark, folder).collect())
+    assert not found["good"] and found["no axis"] and found["no spacing"]
+    assert plans and not any("unboundedfollowing" in p for p in plans)
