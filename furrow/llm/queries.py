@@ -99,10 +99,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from furrow.llm.quality import score_quality, train_quality
+    from furrow.llm.quality import quality_features, score_features, train_on_features
 
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = score_quality(docs, train_quality(docs, labels.where(fold("doc_id", 3) != 1)))
+    found, labels = quality_features(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
+    out = score_features(found, train_on_features(found, labels.where(fold("doc_id", 3) != 1)))
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -269,3 +269,55 @@ def test_quality_score_is_a_weighted_sum_of_hinges(spark):
     pairs = [(a, b) for a in np.flatnonzero(label)[:60] for b in np.flatnonzero(1 - label)[:60]]
     raw = model.raw(x)
     assert np.mean([raw[a] > raw[b] for a, b in pairs]) > 0.97
+
+
+def test_quality_learns_from_every_labelled_text(spark):
+    """More texts of a class than any sample took; the few of the other class are copied to several blocks."""
+    texts = [" ".join(["word"] * int(n)) + "." for n in random.integers(1, 400, 9000)] + [" ".join(["BUY!"] * int(n)) for n in random.integers(1, 400, 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    labels = df.select("doc_id", (F.col("doc_id") < 9000).cast("int").alias("quality"))
+    model = quality.train_quality(df, labels)
+    x = quality.features(*buffers(pa.array(texts)))
+    assert model.mean[:15].tolist() == pytest.approx(x.mean(axis=0).tolist(), abs=1e-9)
+    wide = quality._expand(x, model.knots)
+    assert (model.scale**2 * (model.scale != 1)).tolist() == pytest.approx(np.where(model.scale != 1, wide.var(axis=0), 0).tolist(), abs=1e-9)
+    ranked = np.sort(x[:, 0])
+    assert model.knots[0].tolist() == pytest.approx(np.unique([ranked[int(q * 9199 + 0.5)] for q in quality.HINGES]).tolist(), abs=1e-6)
+    raw = np.sort(model.raw(x))
+    assert model.threshold == pytest.approx((raw[199] + raw[200]) / 2)
+    assert model.raw(x[9000:]).max() < model.threshold < model.raw(x[:9000]).min()
+
+
+def test_quality_blocks_hold_every_text_once_and_partners_for_it(spark):
+    rows = [(i, int(i >= 300), [float(i)] * 15) for i in range(7000)] + [(5, 0, [5.0] * 15)]  # one row twice
+    found = quality._in_blocks(spark.createDataFrame(rows, "id long, label int, x array<double>").repartition(5), 6700, 301)
+    own = []
+    for r in found.collect():
+        block = tuple(np.frombuffer(r[k]).reshape(-1, 15) for k in ("good", "bad")) + (r.good_counts, r.bad_counts)
+        own += quality._own(block)[:, 0].tolist()
+        assert len(quality._differences(lambda v: v, block, 4)) == 4 * max(len(block[0]), len(block[1]))
+    assert sorted(own) == sorted(r[2][0] for r in rows)
+    assert found.count() == 4
+
+
+def test_quality_pairs_are_distinct_and_leave_no_text_out():
+    for many, few in ((9, 4), (4, 9), (5, 5), (7, 1)):
+        good, bad = np.arange(many)[:, None] * 1.0, np.arange(few)[:, None] * 100.0
+        d = quality._differences(lambda x: x, (good, bad, True, True), 3)[:, 0].tolist()
+        found = {(round(v) % 100, (round(v) % 100 - round(v)) // 100) for v in d}
+        assert len(d) == len(found) == min(3, many, few) * max(many, few)
+        assert {g for g, _ in found} == set(range(many)) and {b for _, b in found} == set(range(few))
+
+
+def test_quality_weights_minimise_the_loss_of_pairs():
+    x = random.normal(size=(240, 15))
+    label = (x[:, 0] + random.normal(size=240) > 0.2).astype(int)
+    model = quality.fit(x, label, float(label.mean()), decay=0.01)
+    z = (quality._expand(x, model.knots) - model.mean) / model.scale
+    d = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, z.shape[1])  # all pairs, as the table is small
+
+    def loss(w):
+        return np.logaddexp(0, -d @ w).mean() + 0.005 * (w @ w)
+
+    best = loss(model.weight)
+    assert all(loss(model.weight + 0.02 * random.normal(size=len(model.weight))) > best for _ in range(50))
