@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Whole grid rows that are combined at a time.
+from furrow.functions.batches import whole_runs
+
+#: Neighbouring grid rows that go to one task.
 STRIP = 8
 
 
@@ -50,26 +54,27 @@ def distance_transform(cells: DataFrame, blocked: str = "blocked") -> DataFrame:
     """cells(x, y, blocked, …), dense, with d2, the squared distance in cells to the nearest blocked cell.
 
     d2 is 0 on blocked cells and null everywhere if nothing is blocked; the grid's border does not block. Distances
-    along columns come from two running windows; rows then combine them, strips of whole rows at a time, which carry
-    all other columns along.
+    along columns come from two running windows; rows then combine them, a batch of whole rows at a time, which carry
+    all other columns along. One row of the grid fits a task.
     """
     up, down = (Window.partitionBy("x").orderBy(y).rowsBetween(Window.unboundedPreceding, 0) for y in (F.asc("y"), F.desc("y")))
     mark = F.when(F.col(blocked), F.col("y"))
     before, after = F.last(mark, True).over(up), F.last(mark, True).over(down)  # frames that begin at the current row are evaluated anew for each row
     near = cells.withColumn("_g", F.least(F.col("y") - before, after - F.col("y")).cast("double"))
-    near = near.withColumn("_strip", F.floor(F.col("y") / STRIP))
     schema = T.StructType([*cells.schema.fields, T.StructField("d2", T.LongType())])
 
-    def combine(_, part):
-        x, y = part["x"].to_numpy(), part["y"].to_numpy()
-        order = np.lexsort((x, y))
-        best = np.empty(len(x))
-        best[order] = row_minimum(y[order], x[order], part["_g"].fill_null(np.inf).to_numpy()[order])
-        none = np.isinf(best)
-        d2 = pa.array(np.where(none, 0, best).astype(np.int64), mask=none)
-        return part.drop_columns(["_g", "_strip"]).append_column("d2", d2)
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_runs(batches, "y"):
+            x, y = part["x"].to_numpy(), part["y"].to_numpy()
+            order = np.lexsort((x, y))
+            best = np.empty(len(x))
+            best[order] = row_minimum(y[order], x[order], part["_g"].fill_null(np.inf).to_numpy()[order])
+            none = np.isinf(best)
+            d2 = pa.array(np.where(none, 0, best).astype(np.int64), mask=none)
+            yield from part.drop_columns(["_g"]).append_column("d2", d2).to_batches()
 
-    return near.groupBy("_strip").applyInArrow(combine, schema)
+    rows = near.repartition(F.floor(F.col("y") / STRIP)).sortWithinPartitions("y")
+    return rows.mapInArrow(combine, schema)
 
 
 def with_distance(cells: DataFrame, resolution: float, what: str = "blocked") -> DataFrame:

@@ -15,9 +15,10 @@ OCCUPIED, UNKNOWN, FREE = 0, 205, 254
 HARD, CANDIDATE, PILLAR, GROUND = (2, 4, 6), (3, 5), (6,), 1
 
 
-def aisle_cells(aisles: DataFrame) -> DataFrame:
-    """(aisle_id, x, y) of the cells that each aisle's rounded polygon covers."""
-    return spread(aisles, "aisle_id").select("aisle_id", F.explode(covered_cells(F.col("polygon"))).alias("c")).select("aisle_id", "c.x", "c.y")
+def aisle_cells(aisles: DataFrame, *more: str) -> DataFrame:
+    """(aisle_id, x, y, more…) of the cells that each aisle's rounded polygon covers."""
+    cells = spread(aisles, "aisle_id").select("aisle_id", *more, F.explode(covered_cells(F.col("polygon"))).alias("c"))
+    return cells.select("aisle_id", "c.x", "c.y", *more)
 
 
 def labelled(aisles: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Writers for tools outside Spark: map images, bundles and reports under exact names.
 
-These are thin exports of one map or one report, collected to the driver after a check of its size; results that grow
-belong in Parquet. Paths are local, or name a store by their scheme.
+These are thin exports of one map, which the driver passes on strip by strip, or of one report, which it collects;
+results that grow belong in Parquet. Paths are local, or name a store by their scheme.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import csv
 import html
 import io
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -22,35 +22,90 @@ from pyspark.sql import functions as F
 from furrow.operators import clearance, layers, sweep
 from furrow.storage import materialise, write_bytes, writing
 
-#: A larger grid is not collected. Cells of a grid that are filled at a time.
+#: A larger grid is not collected into one array. Cells of a grid that are filled at a time.
 MOST_CELLS, STRIP = 1 << 28, 1 << 18
+#: Bytes of a grid that the driver fetches or writes at a time.
+PIECE = 1 << 23
 
 
-def to_array(cells: DataFrame, column: str, fill: float, dtype: type, most: int = MOST_CELLS) -> np.ndarray:
-    """One grid as an array indexed [y, x]; absent and null cells hold ``fill``. More than ``most`` cells are an error.
+def _strips(cells: DataFrame, fills: dict[str, float], dtype: type, most: int | None = None) -> tuple[int, int, DataFrame]:
+    """(width, height, strips): grids of the columns in ``fills``, as the bytes of whole rows from row ``first`` on.
 
-    Executors fill strips of whole rows; the driver gets these one after another and never the cells as rows.
+    All columns are filled in one pass, by executors; absent and null cells hold a column's value in ``fills``.
     """
     width, height = (0 if n is None else n + 1 for n in cells.agg(F.max("x"), F.max("y")).first())
-    if width * height > most:
+    if most is not None and width * height > most:
         raise ValueError(f"a grid of {width} x {height} cells is too large for one array")
-    out = np.full((height, width), fill, dtype)
     rows = max(1, STRIP // max(1, width))
 
     def fill_strip(key, part):
         first = key[0].as_py() * rows
-        strip = np.full((min(rows, height - first), width), fill, dtype)
-        strip[part["y"].to_numpy() - first, part["x"].to_numpy()] = part["v"].to_numpy()
-        return pa.table({"first": pa.array([first], pa.int64()), "data": pa.array([strip.tobytes()], pa.binary())})
-
-    held = cells.select("x", "y", F.col(column).cast("double").alias("v")).where("v is not null")
-    strips = held.groupBy(F.floor(F.col("y") / rows).alias("_strip")).applyInArrow(fill_strip, "first long, data binary")
-    for r in materialise(strips, "strips").toLocalIterator():
-        strip = np.frombuffer(r["data"], dtype).reshape(-1, width)
+        at = part["y"].to_numpy() - first, part["x"].to_numpy()
+        found = {"first": pa.array([first], pa.int64())}
+        for column, fill in fills.items():
+            strip = np.full((min(rows, height - first), width), fill, dtype)
+            strip[at] = part[column].fill_null(fill).to_numpy()
+            found[column] = pa.array([strip.tobytes()], pa.binary())
+        return pa.table(found)
+
+    held = cells.select("x", "y", *[F.col(c).cast("double").alias(c) for c in fills])
+    strips = held.groupBy(F.floor(F.col("y") / rows).alias("_strip")).applyInArrow(fill_strip, ", ".join(["first long", *[f"{c} binary" for c in fills]]))
+    return width, height, materialise(strips, "strips")
+
+
+def to_array(cells: DataFrame, column: str, fill: float, dtype: type, most: int = MOST_CELLS) -> np.ndarray:
+    """One grid as an array indexed [y, x]; absent and null cells hold ``fill``. More than ``most`` cells are an error.
+
+    Executors fill strips of whole rows; the driver gets these one after another and never the cells as rows.
+    """
+    width, height, strips = _strips(cells, {column: fill}, dtype, most)
+    out = np.full((height, width), fill, dtype)
+    for r in strips.toLocalIterator():
+        strip = np.frombuffer(r[column], dtype).reshape(-1, width)
         out[r["first"] : r["first"] + len(strip)] = strip
     return out
 
 
+def _pgm_head(width: int, height: int) -> bytes:
+    return b"P5\n%d %d\n255\n" % (width, height)
+
+
+def _npy_head(shape: tuple[int, int], dtype: type) -> bytes:
+    head = io.BytesIO()
+    np.lib.format.write_array_header_1_0(head, {"descr": np.lib.format.dtype_to_descr(np.dtype(dtype)), "fortran_order": False, "shape": shape})
+    return head.getvalue()
+
+
+def write_grids(cells: DataFrame, files: dict[str, tuple[str, int]]) -> None:
+    """Grids of one byte a cell, of any size: from path to (column, value of absent and null cells).
+
+    A path that ends in .pgm gets a gray image, whose lowest row comes last, any other an array indexed [y, x]. The
+    cells are read in one pass for all files; the driver holds some megabytes of a grid at a time.
+    """
+    names = {f"g{k}": file for k, file in enumerate(files.values())}
+    grids = cells.select("x", "y", *[F.col(column).alias(name) for name, (column, _) in names.items()])
+    width, height, strips = _strips(grids, {name: fill for name, (_, fill) in names.items()}, np.uint8)
+    parts = max(1, -(-width * height // PIECE))
+    for path, (name, (_, fill)) in zip(files, names.items(), strict=True):
+        image, done = str(path).endswith(".pgm"), 0
+        order = F.desc("first") if image else F.asc("first")
+        ordered = strips.select("first", F.col(name).alias("data")).repartitionByRange(parts, order).sortWithinPartitions(order)
+        with writing(path) as write:
+            write(_pgm_head(width, height) if image else _npy_head((height, width), np.uint8))
+            for r in ordered.toLocalIterator():
+                strip = np.frombuffer(r["data"], np.uint8).reshape(-1, width)
+                begin = height - r["first"] - len(strip) if image else r["first"]
+                _write_blank(write, (begin - done) * width, fill)  # rows without any cell
+                write((strip[::-1] if image else strip).tobytes())
+                done = begin + len(strip)
+            _write_blank(write, (height - done) * width, fill)
+
+
+def _write_blank(write: Callable[[bytes], None], size: int, fill: int) -> None:
+    for a in range(0, size, PIECE):
+        write(bytes([fill]) * min(PIECE, size - a))
+
+
 def _write_rows(head: bytes, grid: np.ndarray, path: str | Path) -> None:
     """A head and a grid's rows, a few megabytes at a time."""
     step = max(1, (1 << 22) // max(1, grid.shape[1] * grid.itemsize))
@@ -62,14 +117,12 @@ def _write_rows(head: bytes, grid: np.ndarray, path: str | Path) -> None:
 
 def write_pgm(grid: np.ndarray, path: str | Path) -> None:
     """A binary gray image; the grid's lowest row comes last."""
-    height, width = grid.shape
-    _write_rows(b"P5\n%d %d\n255\n" % (width, height), grid[::-1].astype(np.uint8, copy=False), path)
+    _write_rows(_pgm_head(*grid.shape[::-1]), grid[::-1].astype(np.uint8, copy=False), path)
 
 
 def write_npy(grid: np.ndarray, path: str | Path) -> None:
-    grid, head = np.ascontiguousarray(grid), io.BytesIO()
-    np.lib.format.write_array_header_1_0(head, np.lib.format.header_data_from_array_1_0(grid))
-    _write_rows(head.getvalue(), grid, path)
+    grid = np.ascontiguousarray(grid)
+    _write_rows(_npy_head(grid.shape, grid.dtype), grid, path)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +227,9 @@ def write_navigation_bundle(
         "aisles": lanes,
         "map_server_yaml_valid": layers.metadata_valid(metadata),
     }
-    write_pgm(to_array(cells, "base", layers.UNKNOWN, np.uint8), f"{folder}/navigation_base_map.pgm")
+    grids = {"navigation_base_map.pgm": ("base", layers.UNKNOWN), "candidate_mask.npy": ("is_candidate", 0), "static_obstacle_mask.npy": ("is_hard", 0)}
+    write_grids(cells, {f"{folder}/{name}": grid for name, grid in grids.items()})
     write_yaml(metadata, f"{folder}/navigation_base_map.yaml")
-    for name, column in (("candidate_mask", "is_candidate"), ("static_obstacle_mask", "is_hard")):
-        write_npy(to_array(cells, column, 0, np.uint8), f"{folder}/{name}.npy")
     write_json(validation, f"{folder}/validation.json")
     cells.unpersist()
     connectivity.unpersist()

@@ -117,3 +117,77 @@ def test_inputs_are_refused_over_a_map_of_linear_time(spark, folder, monkeypatch
     found = dict(file_queries.refused_inputs(spark, folder).collect())
     assert not found["good"] and found["no axis"] and found["no spacing"]
     assert plans and not any("unboundedfollowing" in p for p in plans)
+
+
+@pytest.mark.parametrize("rows", [7, 1000])
+def test_grids_are_written_strip_by_strip(spark, tmp_path, monkeypatch, rows):
+    """Against whole arrays, with rows and strips that hold no cell; the driver makes no array of the grid."""
+    cells = spark.createDataFrame([(x, y, (x * y) % 7 or None, x > 3) for y in [*range(9, 12), *range(30, 38), 60] for x in (0, 2, 5)], "x int, y int, v int, flag boolean")
+    monkeypatch.setattr(out, "STRIP", rows * 6)
+    monkeypatch.setattr(out, "PIECE", 100, raising=False)
+    arrays = {c: out.to_array(cells, c, fill, np.uint8) for c, fill in (("v", 9), ("flag", 0))}
+    monkeypatch.setattr(out, "MOST_CELLS", 1)
+    monkeypatch.setattr(out, "to_array", lambda *_: pytest.fail("a whole grid on the driver"))
+    files = {f"file://{tmp_path}/v.pgm": ("v", 9), f"file://{tmp_path}/v.npy": ("v", 9), f"file://{tmp_path}/flag.npy": ("flag", 0), f"{tmp_path}/other.npy": ("v", 200)}
+    out.write_grids(cells, files)
+    assert np.array_equal(src.parse_pgm((tmp_path / "v.pgm").read_bytes()), arrays["v"])
+    assert all(np.array_equal(np.load(tmp_path / f"{c}.npy"), grid) for c, grid in arrays.items())
+    assert np.array_equal(np.load(tmp_path / "other.npy"), np.where(arrays["v"] == 9, 200, arrays["v"]))
+    assert arrays["v"].shape == (61, 6) and arrays["v"][20, 0] == 9 and arrays["flag"].sum() == 12
+
+
+def test_no_cells_make_an_empty_grid(spark, tmp_path):
+    out.write_grids(spark.createDataFrame([], "x int, y int, v int"), {f"{tmp_path}/v.pgm": ("v", 0), f"{tmp_path}/v.npy": ("v", 0)})
+    assert (tmp_path / "v.pgm").read_bytes() == b"P5\n0 0\n255\n" and np.load(tmp_path / "v.npy").shape == (0, 0)
+
+
+@pytest.mark.parametrize("query", ["bundle_validation"])
+def test_map_files_need_no_array_of_the_whole_grid(spark, folder, monkeypatch, query):
+    monkeypatch.setattr(out, "to_array", lambda *_: pytest.fail("a whole grid on the driver"))
+    assert queries.QUERIES[query](spark, folder).count()
+
+
+def test_rows_and_aisles_are_whole_whatever_the_batches(spark, folder):
+    """Rows of the grid and aisles that batches cut, and batches that hold many of them."""
+    cells = queries.layers_of(spark, folder, t.SPARSE_LABEL).persist()
+    marked = cells.select("x", "y", (F.col("base") != 254).alias("blocked"))
+    found = {}
+    for size in ("7", "120", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            near = distance.distance_transform(marked)
+            assert "FlatMapGroups" not in plan(near)
+            passed = clearance.clearance_connectivity(cells, t.aisles(spark, folder), t.GRID_RESOLUTION, queries.RADII)
+            assert "FlatMapGroups" not in plan(passed)
+            found[size] = sorted(map(tuple, near.collect())), sorted(map(tuple, passed.collect()))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found["7"] == found["120"] == found["10000"] and len(found["7"][0]) == 120 * 40
+    blocked = [(x, y) for x, y, stop, _ in found["7"][0] if stop]
+    assert all(d2 == min((x - a) ** 2 + (y - b) ** 2 for a, b in blocked) for x, y, _, d2 in found["7"][0][::97])
+
+
+def test_aisles_are_labelled_together_as_one_by_one():
+    """Several aisles in one table against a search from cell to cell."""
+    random, rows = np.random.default_rng(3), []
+    for aisle in (2, 3, 9, 40):
+        x0, y0 = random.integers(0, 1000, 2)
+        cells = [(x, y) for x in range(9) for y in range(4) if random.random() < 0.9]
+        rows += [(aisle, x0 + x, y0 + y, random.random(), (x, y) == (0, 1), (x, y) == (8, 2)) for x, y in cells]
+    names = ("aisle_id", "x", "y", "dist_m", "start", "end")
+    part = clearance.pa.table({n: [r[k] for r in rows] for k, n in enumerate(names)})
+    radii, want = (0.0, 0.1, 0.3), {}
+    for aisle in (2, 3, 9, 40):
+        for radius in radii:
+            safe = {(r[1], r[2]): r for r in rows if r[0] == aisle and r[3] + 1e-12 >= radius}
+            seen = {c for c, r in safe.items() if r[4]}
+            todo = list(seen)
+            while todo:
+                x, y = todo.pop()
+                new = {(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)} & safe.keys() - seen
+                seen |= new
+                todo += new
+            want[aisle, radius] = any(safe[c][5] for c in seen)
+    got = clearance.connected(part, radii).to_pylist()
+    assert {(r["aisle_id"], r["radius"]): r["ok"] for r in got} == want and len(got) == 12
+    assert set(want.values()) == {True, False}
