@@ -40,7 +40,7 @@ def label_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def map_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{new_folder(spark, 'image')}/map.pgm"
-    out.write_pgm(out.to_array(layers_of(spark, sf_dir), "base", layers.UNKNOWN, np.uint8), path)
+    out.write_grids(layers_of(spark, sf_dir), {path: ("base", layers.UNKNOWN)})
     return src.read_pgm(spark, path)
 
 

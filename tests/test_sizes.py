@@ -141,7 +141,7 @@ def test_no_cells_make_an_empty_grid(spark, tmp_path):
     assert (tmp_path / "v.pgm").read_bytes() == b"P5\n0 0\n255\n" and np.load(tmp_path / "v.npy").shape == (0, 0)
 
 
-@pytest.mark.parametrize("query", ["bundle_validation"])
+@pytest.mark.parametrize("query", ["map_image", "bundle_validation"])
 def test_map_files_need_no_array_of_the_whole_grid(spark, folder, monkeypatch, query):
     monkeypatch.setattr(out, "to_array", lambda *_: pytest.fail("a whole grid on the driver"))
     assert queries.QUERIES[query](spark, folder).count()
