@@ -147,6 +147,14 @@ def test_map_files_need_no_array_of_the_whole_grid(spark, folder, monkeypatch, q
     assert queries.QUERIES[query](spark, folder).count()
 
 
+def test_no_aisles_reach_the_driver_from_refused_inputs(spark, folder, monkeypatch):
+    kept, keep = [], type(spark.range(0)).collect
+    monkeypatch.setattr(type(spark.range(0)), "collect", lambda df: kept.append(keep(df)) or kept[-1])
+    found = {r["case"]: r["refused"] for r in file_queries.refused_inputs(spark, folder).toLocalIterator()}
+    assert all(len(rows) <= 1 for rows in kept)  # sizes of maps
+    assert not found["good"] and found["no axis"] and found["three corners"]
+
+
 def test_rows_and_aisles_are_whole_whatever_the_batches(spark, folder):
     """Rows of the grid and aisles that batches cut, and batches that hold many of them."""
     cells = queries.layers_of(spark, folder, t.SPARSE_LABEL).persist()
