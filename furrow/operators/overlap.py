@@ -36,12 +36,25 @@ def _tenth(dist: np.ndarray) -> np.ndarray:
     return np.where(have > 0, a + (b - a) * (at - low), np.nan)
 
 
-def _reduced(xs: np.ndarray, ys: np.ndarray, origin: tuple[int, int], base: np.ndarray, candidate: np.ndarray, dist: np.ndarray, convex: bool) -> dict[str, np.ndarray]:
-    """RESULTS of areas with vertices (xs, ys) on a tile's arrays; areas of one shape are looked at together."""
+def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of whole numbers from 0 on, and which of them each row is."""
+    base, bound, code = int(rows.max()) + 1, 1, np.zeros(len(rows), np.int64)
+    for column in rows.T:
+        if bound * base >= 1 << 62:
+            code = np.unique(code, return_inverse=True)[1]
+            bound = int(code.max()) + 1
+        code = code * base + column
+        bound *= base
+    _, first, which = np.unique(code, return_index=True, return_inverse=True)
+    return rows[first], which
+
+
+def _reduced(xs: np.ndarray, ys: np.ndarray, origin: tuple[int, int], base: np.ndarray, candidate: np.ndarray, dist: np.ndarray, convex: bool, results: dict[str, str]) -> dict[str, np.ndarray]:
+    """``results`` of areas with vertices (xs, ys) on a tile's arrays; areas of one shape are looked at together."""
     count = len(xs)
-    out = {k: np.zeros(count, np.int64 if kind == "long" else float) for k, kind in RESULTS.items()}
+    out = {k: np.zeros(count, np.int64 if kind == "long" else float) for k, kind in results.items()}
     x0, y0 = xs.min(axis=1), ys.min(axis=1)
-    shapes, which = np.unique(np.concatenate([xs - x0[:, None], ys - y0[:, None]], axis=1), axis=0, return_inverse=True)
+    shapes, which = distinct_rows(np.concatenate([xs - x0[:, None], ys - y0[:, None]], axis=1))
     order = np.argsort(which, kind="stable")
     cuts = np.searchsorted(which[order], np.arange(len(shapes) + 1))
     for k, shape in enumerate(shapes):
@@ -61,26 +74,29 @@ def _reduced(xs: np.ndarray, ys: np.ndarray, origin: tuple[int, int], base: np.n
             out["candidates"][at] = candidate[cell].sum(axis=1)
             least = np.where(np.isnan(near), np.inf, near).min(axis=1)
             out["near_m"][at] = np.where(np.isinf(least), np.nan, least)
-            out["p10_m"][at] = _tenth(near)
+            if "p10_m" in out:
+                out["p10_m"][at] = _tenth(near)
     return out
 
 
-def overlap(areas: DataFrame, area: str, grid: DataFrame, reach_cells: float, convex: bool = False) -> DataFrame:
+def overlap(areas: DataFrame, area: str, grid: DataFrame, reach_cells: float, convex: bool = False, percentile: bool = True) -> DataFrame:
     """areas without the column ``area`` (a polygon in cells), with what the cells that it covers hold.
 
     ``cells`` counts those on the map; ``occupied``, ``unknown`` and ``candidates`` are counts, ``near_m`` and ``p10_m``
-    the least and the 10th percentile of ``dist_m``, null without any. grid is (x, y, base, is_candidate, dist_m). An
+    the least and, with ``percentile``, the 10th percentile of ``dist_m``, null without any. grid is (x, y, base, is_candidate, dist_m). An
     area, or with ``convex`` its hull, is taken with its vertices rounded; none spans more than ``reach_cells``. The
     areas of a tile fit a task: they are as many as routes cross it.
     """
     span = math.ceil(reach_cells) + 2
     side = max(TILE, 2 * span)
-    parts = int(areas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    session = areas.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    results = {k: kind for k, kind in RESULTS.items() if percentile or k != "p10_m"}
     whole = rounded(F.col(area))
     placed = areas.withColumns({f"_{a}s": F.transform(coordinates(whole, a), lambda v: v.cast("int")) for a in "xy"}).drop(area)
     placed = placed.withColumns({f"_t{a}": F.floor(F.array_min(f"_{a}s") / side) for a in "xy"})
     keep = [f for f in areas.schema.fields if f.name != area]
-    schema = T.StructType([*keep, *[T.StructField(k, T.LongType() if kind == "long" else T.DoubleType()) for k, kind in RESULTS.items()]])
+    schema = T.StructType([*keep, *[T.StructField(k, T.LongType() if kind == "long" else T.DoubleType()) for k, kind in results.items()]])
     cells = grid.select("x", "y", "base", "is_candidate", "dist_m")
     for a in "xy":
         tiles = F.array_distinct(F.array(F.floor(F.col(a) / side), F.floor((F.col(a) - span) / side)))
@@ -89,7 +105,7 @@ def overlap(areas: DataFrame, area: str, grid: DataFrame, reach_cells: float, co
     def reduce(key, left, right):
         names = [f.name for f in keep]
         if not left.num_rows:
-            empty = {k: pa.array([], pa.int64() if kind == "long" else pa.float64()) for k, kind in RESULTS.items()}
+            empty = {k: pa.array([], pa.int64() if kind == "long" else pa.float64()) for k, kind in results.items()}
             return pa.table([*left.select(names).columns, *empty.values()], names=[*names, *empty])
         origin = key[0].as_py() * side, key[1].as_py() * side
         shape = side + span + 1, side + span + 1
@@ -101,9 +117,9 @@ def overlap(areas: DataFrame, area: str, grid: DataFrame, reach_cells: float, co
         xs, ys = (np.stack(left[f"_{a}s"].combine_chunks().flatten().to_numpy().reshape(left.num_rows, -1)) for a in "xy")
         if max(np.ptp(xs, axis=1).max(), np.ptp(ys, axis=1).max()) > span:
             raise ValueError("an area spans more cells than its tile's margin")
-        found = _reduced(xs.astype(np.int64), ys.astype(np.int64), origin, base, candidate, dist, convex)
-        results = [pa.array(v) if v.dtype == np.int64 else pa.array(v, mask=np.isnan(v)) for v in found.values()]
-        return pa.table([*left.select(names).columns, *results], names=[*names, *found])
+        found = _reduced(xs.astype(np.int64), ys.astype(np.int64), origin, base, candidate, dist, convex, results)
+        columns = [pa.array(v) if v.dtype == np.int64 else pa.array(v, mask=np.isnan(v)) for v in found.values()]
+        return pa.table([*left.select(names).columns, *columns], names=[*names, *found])
 
     # a number of partitions, as adaptive execution would put small tables into one task; the work is in Python
     both = [df.repartition(parts, "_tx", "_ty").groupBy("_tx", "_ty") for df in (placed, cells)]

@@ -115,7 +115,7 @@ def evaluate(poses: DataFrame, keys: list[str], footprint: Footprint, on: Map, c
     body = placed(list(footprint), F.col("x"), F.col("y"), F.col("yaw"), on.resolution)
     marked = poses.select(*keys, "x", "y", "yaw").withColumn("_body", body)
     marked = marked.withColumn("_leaves", leaves_grid(F.col("_body"), F.lit(on.width), F.lit(on.height)))
-    seen = overlap(marked, "_body", on.grid, span_m(footprint) / on.resolution)
+    seen = overlap(marked, "_body", on.grid, span_m(footprint) / on.resolution, percentile=False)
     seen = seen.withColumns({"collision": F.col("occupied") > 0, "unknown": F.col("unknown") > 0, "candidate": F.col("candidates") > 0})
     outside = F.col("_leaves") if clip_outside else F.col("_leaves") | (F.col("cells") == 0)
     near = F.when(F.col("cells") == 0, F.lit(0.0)).otherwise(F.col("near_m"))  # null if nothing on the map blocks

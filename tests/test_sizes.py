@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.operators import clearance, distance, sweep
+from furrow.operators import clearance, distance, overlap, sweep
 from furrow.plans import file_queries, queries
 from furrow.plans import tables as t
 from furrow.sinks import files as out
@@ -199,3 +199,18 @@ def test_aisles_are_labelled_together_as_one_by_one():
     got = clearance.connected(part, radii).to_pylist()
     assert {(r["aisle_id"], r["radius"]): r["ok"] for r in got} == want and len(got) == 12
     assert set(want.values()) == {True, False}
+
+
+def test_poses_take_no_percentile_that_is_dropped(spark, folder, monkeypatch):
+    asked, keep = [], sweep.overlap
+    monkeypatch.setattr(sweep, "overlap", lambda *a, **k: asked.append(keep(*a, **k)) or asked[-1])
+    queries.oblique_offset_routes(spark, folder)
+    assert [c for df in asked for c in df.columns if c in overlap.RESULTS] == ["cells", "occupied", "unknown", "candidates", "near_m"]
+
+
+@pytest.mark.parametrize("most", [2, 7, 1 << 20, 1 << 40])
+def test_distinct_rows(most):
+    rows = np.random.default_rng(1).integers(0, most, (60, 8))
+    rows = rows[np.random.default_rng(2).integers(0, 60, 500)]
+    shapes, which = overlap.distinct_rows(rows)
+    assert np.array_equal(shapes[which], rows) and len(shapes) == len(np.unique(rows, axis=0))
