@@ -32,7 +32,8 @@ def navigation_layers(semantic: DataFrame, aisles: DataFrame) -> DataFrame:
     Hard structure is occupied whatever covers it; free ground and aisles are free; all else is unknown.
     """
     inside = aisle_cells(aisles).select("x", "y").distinct().withColumn("_in", F.lit(True))
-    cells = semantic.join(inside, ["x", "y"], "left").withColumn("is_aisle", F.coalesce("_in", F.lit(False))).drop("_in")
+    # the planner, which sees the aisles' size, would broadcast their cells, and in a cached plan nothing corrects it
+    cells = semantic.join(inside.hint("merge"), ["x", "y"], "left").withColumn("is_aisle", F.coalesce("_in", F.lit(False))).drop("_in")
     label = F.col("label")
     cells = cells.withColumns({"is_hard": label.isin(*HARD), "is_candidate": label.isin(*CANDIDATE), "is_pillar": label.isin(*PILLAR)})
     base = F.when(F.col("is_hard"), OCCUPIED).when((label == GROUND) | F.col("is_aisle"), FREE).otherwise(UNKNOWN)

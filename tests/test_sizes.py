@@ -39,6 +39,17 @@ def test_cells_of_aisles_are_not_broadcast(spark, folder):
     assert not re.search(r"BroadcastHashJoin \[x[^\n]*Inner", plan(found))
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])  # a cached plan is not adaptive
+def test_cells_of_aisles_are_not_broadcast_to_the_layers(spark, folder, adaptive):
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        found = queries.layers_of(spark, folder, t.SPARSE_LABEL)
+        assert "SortMergeJoin" in plan(found) and "BroadcastHashJoin" not in plan(found)
+        assert found.where("is_aisle").count() == 6 * 116 * 5
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_a_grid_reaches_the_driver_in_strips(spark, folder, monkeypatch):
     monkeypatch.setattr(out, "STRIP", 7 * 120, raising=False)  # 40 rows: five whole strips and a shorter one
     labels = t.labels(spark, folder).where("x <> 3 or y <> 5")
