@@ -158,7 +158,8 @@ def _ranged_points(spark: SparkSession, uri: str, head: CloudHeader, bytes_each:
                         points = head.points_of(source.read(n * width), 0, n)
                         yield pa.RecordBatch.from_arrays([pa.array(points[:, c]) for c in range(3)], names=list("xyz"))
 
-    slices = max(4 * spark.sparkContext.defaultParallelism, -(-head.points * width // RANGE))  # a task may read many small ranges
+    cores = spark.sparkContext.defaultParallelism
+    slices = ranges if ranges <= 8 * cores else max(4 * cores, -(-head.points * width // RANGE))  # of many small ranges, a task reads several
     return spark.range(0, ranges, 1, min(ranges, slices)).mapInArrow(run, _POINT)
 
 
